@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from .op1_quality_rules import op1_quality_rules
 from .op2_token_output import op2_token_output
 from .op3_decontamination import OP3_SQL, op3_decontamination
 from .op5_bpe import op5_bpe
+from .op7_secret_scan import OP7_SQL, op7_secret_scan
+from .op9_token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_output": op2_token_output,
     "op3_decontamination": op3_decontamination,
     "op5_bpe": op5_bpe,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_token_counts": op9_token_counts,
 }
 
 SQL = {
     "op3_decontamination": OP3_SQL,
+    "op7_secret_scan": OP7_SQL,
 }
