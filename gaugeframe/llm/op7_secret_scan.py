@@ -42,22 +42,45 @@ def _named(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+#: A text can hold a match only if its lower-case form holds one of these.
+ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
+IDENTIFIER_WORDS = ("user", "login", "client", "account", "access")
+
+
+def _runs(chars: str, least: int) -> str:
+    """A run of ``least`` characters, tried only where a run begins."""
+    return f"(?:^|[^{chars}])[{chars}]{{{least}}}"
+
+
+def gates(low: Column, text: Column) -> dict[str, Column]:
+    """Cheap conditions without which a pattern cannot match; ``low`` is the text in lower case."""
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return {
+        "__g_assign": has(ASSIGN_WORDS),
+        "__g_id": has(IDENTIFIER_WORDS),
+        "__g_access": F.contains(text, F.lit("AKIA")),
+        "__g_hex": text.rlike(_runs("0-9a-f", 32)),
+        "__g_key": text.rlike(_runs("A-Za-z0-9+/_=-", 24)),
+        "__g_endpoint": F.contains(text, F.lit("://")),
+    }
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """The spans of each base kind."""
-    assign = find_gated(text, text.rlike(ASSIGN), ASSIGN, 2)
+    assign = find_gated(text, F.col("__g_assign"), ASSIGN, 2)
     return {
         "assign": _named(F.filter(assign, lambda s: F.char_length(s["part"]) >= MIN_ASSIGNED), "assign"),
-        "access": _named(find_gated(text, F.contains(text, F.lit("AKIA")), ACCESS), "access"),
-        "hex": _named(find_gated(text, text.rlike(HEX), HEX), "hex"),
+        "access": _named(find_gated(text, F.col("__g_access"), ACCESS), "access"),
+        "hex": _named(find_gated(text, F.col("__g_hex"), HEX), "hex"),
     }
 
 
 def weak_parts(text: Column) -> Column:
     """Identifiers, endpoints and mixed tokens of a text, as spans with kinds."""
-    mixed = F.filter(find_gated(text, text.rlike(KEY), KEY), lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[a-z]") & s["match"].rlike("[A-Z]"))
+    mixed = F.filter(find_gated(text, F.col("__g_key"), KEY), lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[a-z]") & s["match"].rlike("[A-Z]"))
     return F.concat(
-        _named(find_gated(text, text.rlike(IDENTIFIER), IDENTIFIER), "id"),
-        _named(find_gated(text, F.contains(text, F.lit("://")), ENDPOINT), "endpoint"),
+        _named(find_gated(text, F.col("__g_id"), IDENTIFIER), "id"),
+        _named(find_gated(text, F.col("__g_endpoint"), ENDPOINT), "endpoint"),
         _named(mixed, "key"),
     )
 
@@ -92,18 +115,39 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     return weak.join(other, same & near & fits, "left_semi").select("__id", "__h", "start", "end", "kind").distinct()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text (null: empty), and the key that equal rows share."""
+    rows = docs.withColumns({"__text": F.coalesce(F.col("text").cast("string"), F.lit("")), "__id": F.col("doc_id").cast("long")})
+    return rows.withColumn("__h", F.xxhash64("__text"))
+
+
+def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """__id, __h, __base and __spans of every different (doc_id, text) with a span.
+
+    The texts are read once; what is found in them, a small part, is written to
+    the shared folder and linked from there.
+    """
+    rows = _keyed(docs).withColumn("__low", F.lower("__text"))
+    rows = rows.withColumns(gates(F.col("__low"), F.col("__text"))).where("__g_assign OR __g_access OR __g_hex OR __g_key OR __g_id")
+    kinds = base_spans(F.col("__text"))
+    found = rows.select("__id", "__h", _sorted(F.concat(*kinds.values())).alias("__base"), weak_parts(F.col("__text")).alias("__weak"))
+    found = common.materialise(docs.sparkSession, found.where(F.size("__base") + F.size("__weak") > 0)).distinct()
+    strong = F.filter("__base", lambda s: s["kind"].isin("assign", "access"))
+    parts = found.where(F.exists("__weak", lambda s: s["kind"].isin("id", "key"))).select("__id", "__h", F.explode(F.concat("__weak", strong)).alias("p"))
+    more = _linked(parts.select("__id", "__h", "p.start", "p.end", "p.kind"), scope)
+    more = more.groupBy(F.col("__id").alias("i2"), F.col("__h").alias("h2")).agg(F.collect_list(F.struct("start", "end", "kind")).alias("__more"))
+    joined = found.join(more, F.col("__id").eqNullSafe(F.col("i2")) & (F.col("__h") == F.col("h2")), "left")
+    new = F.filter(F.coalesce(F.col("__more"), F.array().cast(_SPANS)), lambda w: ~F.exists("__base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
+    return joined.select("__id", "__h", "__base", _sorted(F.concat("__base", new)).alias("__spans")).where(F.size("__spans") > 0)
+
+
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with ``__base`` and ``__spans`` (arrays of start, end, kind); all columns stay."""
-    rows = docs.withColumns({"__text": F.coalesce(F.col("text").cast("string"), F.lit("")), "__id": F.col("doc_id").cast("long")}).withColumn("__h", F.xxhash64("__text"))
-    kinds = base_spans(F.col("__text"))
-    base = rows.withColumn("__base", _sorted(F.concat(*kinds.values())))
-    hinted = rows.where(F.col("__text").rlike(KEY) | F.col("__text").rlike(IDENTIFIER))
-    parts = hinted.select("__id", "__h", F.concat(kinds["assign"], kinds["access"], weak_parts(F.col("__text"))).alias("p"))
-    parts = parts.select("__id", "__h", F.explode("p").alias("p")).select("__id", "__h", "p.start", "p.end", "p.kind")
-    more = _linked(parts, scope).groupBy(F.col("__id").alias("i2"), F.col("__h").alias("h2")).agg(F.collect_list(F.struct("start", "end", "kind")).alias("__weak"))
-    joined = base.drop("__text").join(more, F.col("__id").eqNullSafe(F.col("i2")) & (F.col("__h") == F.col("h2")), "left").drop("i2", "h2", "__id", "__h")
-    new = F.filter(F.coalesce(F.col("__weak"), F.array().cast(_SPANS)), lambda w: ~F.exists("__base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
-    return joined.withColumn("__spans", _sorted(F.concat("__base", new))).drop("__weak")
+    found = find_spans(docs, scope).withColumnsRenamed({"__id": "i3", "__h": "h3"})
+    same = F.col("__id").eqNullSafe(F.col("i3")) & (F.col("__h") == F.col("h3"))
+    joined = _keyed(docs).drop("__text").join(found, same, "left").drop("i3", "h3", "__id", "__h")
+    none = F.array().cast(_SPANS)
+    return joined.withColumns({"__base": F.coalesce("__base", none), "__spans": F.coalesce("__spans", none)})
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
