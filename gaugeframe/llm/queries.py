@@ -7,6 +7,7 @@ from .op2_token_output import op2_token_output
 from .op3_decontamination import OP3_SQL, op3_decontamination
 from .op5_bpe import op5_bpe
 from .op8_jaccard_join import op8_jaccard_join
+from .op6_substring_dedup import op6_substring_dedup
 from .op7_secret_scan import OP7_SQL, op7_secret_scan
 from .op9_token_counts import op9_token_counts
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_token_output": op2_token_output,
     "op3_decontamination": op3_decontamination,
     "op5_bpe": op5_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
