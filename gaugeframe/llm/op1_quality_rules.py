@@ -75,15 +75,18 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     """The counts of every text, beside the columns ``keep``."""
     kept = [f for f in docs.schema.fields if f.name in keep]
     names = [f"s_{c}" for c in COUNTS]
+    own = any(f.name == "text" and f.dataType.simpleString() == "string" for f in kept)
+    source_name = "text" if own else "__text"
 
     def step(batches):
         for batch in batches:
-            for rows in common.slices(batch, "__text"):
-                found = np.array([count_text(t) for t in common.utf8(rows.column("__text"))], np.int64).reshape(-1, len(COUNTS))
+            for rows in common.slices(batch, source_name):
+                found = np.array([count_text(t) for t in common.utf8(rows.column(source_name))], np.int64).reshape(-1, len(COUNTS))
                 columns = [rows.column(f.name) for f in kept] + [pa.array(found[:, i]) for i in range(len(COUNTS))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + names)
 
-    source = docs.select(*[F.col(f.name) for f in kept], F.col("text").cast("string").alias("__text"))
+    extra = [] if own else [F.col("text").cast("string").alias(source_name)]
+    source = docs.select(*[F.col(f.name) for f in kept], *extra)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} long" for n in names])
     return common.map_batches(source, step, schema)
 
@@ -244,6 +247,12 @@ def judge(docs: DataFrame, rules: DecisionList, keep: tuple[str, ...] = ("doc_id
     return found.withColumn("base_failed", base_failed()).withColumn("rule", rules.column()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The documents that stay, with all their columns."""
+    judged = judge(docs, rules, tuple(docs.columns))
+    return judged.where("kept").select(docs.columns)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document, by rules learned from the labels."""
     docs = common.table(spark, sf_dir, "documents")
