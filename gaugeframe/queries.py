@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import queries_measure
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _m in (queries_measure,):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
