@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import verdict
 from ..sources.grids import with_xy
-from .gates import Requirements, Roi, gated, in_roi, samples
+from .gates import Requirements, Roi, gated, samples
 
 #: Smallest share of Sxx * Syy that the determinant of a plane fit may have.
 DEGENERATE = 1e-12
@@ -241,5 +241,3 @@ def list_metrics(results: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def roll_up(results: DataFrame, key: str, ok: str) -> DataFrame:
     """All steps passed, and how many have not."""
     return results.groupBy(key).agg(F.bool_and(ok).alias("passed"), F.count_if(~F.col(ok)).alias("n_failed"))
-
-

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_measure
+from . import queries_measure, queries_neighbourhood
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (queries_measure,):
+for _m in (queries_measure, queries_neighbourhood):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
