@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_geometry, queries_measure, queries_neighbourhood
+from . import queries_geometry, queries_kernels, queries_measure, queries_neighbourhood
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (queries_measure, queries_neighbourhood, queries_geometry):
+for _m in (queries_measure, queries_neighbourhood, queries_geometry, queries_kernels):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
