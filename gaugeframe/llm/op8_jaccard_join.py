@@ -80,33 +80,35 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _prefix_rows(sets: DataFrame, length: int) -> DataFrame:
-    """tree, prefix, key for the sets that enter the forest."""
+    """prefix, and the key as two longs, for the sets that enter the forest; the prefix names its tree."""
 
     def step(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
-            prefix = _prefixes(sig, length).view(np.int64)
-            columns = [
-                pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sig))),
-                pa.array(prefix.reshape(-1)),
-                batch.column("key").take(pa.array(np.repeat(np.arange(len(sig)), TREES))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["tree", "prefix", "key"])
+            keys = np.frombuffer(b"".join(batch.column("key").to_pylist()), "<i8").reshape(-1, 2).repeat(TREES, axis=0)
+            prefix = _prefixes(sig, length)
+            # the low bits carry the tree, so that a cell knows it without another column
+            prefix = (prefix & ~np.uint64(TREES - 1)) | np.arange(TREES, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64).reshape(-1)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["prefix", "k1", "k2"])
 
-    return common.map_batches(sets.select("key", "signature"), step, "tree int, prefix long, key binary")
+    return common.map_batches(sets.select("key", "signature"), step, "prefix long, k1 long, k2 long")
 
 
 def _cells(members: DataFrame) -> DataFrame:
     """members with a cell: a trie node, or a pair of blocks of a crowded one."""
-    sizes = members.groupBy("tree", "prefix").agg(F.count("*").alias("m")).where("m > 1")
-    joined = members.join(sizes, ["tree", "prefix"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    sizes = members.groupBy("prefix").agg(F.count("*").alias("m")).where("m > 1")
+    joined = members.join(sizes, "prefix").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")
     joined = joined.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = joined.withColumn("cell", F.xxhash64("tree", "prefix", F.least("own", "other"), F.greatest("own", "other")))
+    cell = joined.withColumn("cell", F.xxhash64("prefix", F.least("own", "other"), F.greatest("own", "other")))
     mixed = F.col("own") != F.col("other")
-    return cell.select("cell", "tree", "key", F.when(mixed, F.col("own")).otherwise(F.lit(-1)).alias("side"))
+    tree = F.pmod("prefix", F.lit(TREES)).cast("int")
+    # a long's bytes, lowest first, as the key has them
+    little = lambda c: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8)]))
+    key = F.concat(little("k1"), little("k2"))
+    return cell.select("cell", tree.alias("tree"), key.alias("key"), F.when(mixed, F.col("own")).otherwise(F.lit(-1)).alias("side"))
 
 
 def _pairs(tree: int, side: np.ndarray, sig: np.ndarray, length: int, floor: float) -> np.ndarray:
@@ -224,7 +226,9 @@ def _candidates(length: int, threshold: float):
 
 
 def _in_cells(df: DataFrame) -> DataFrame:
-    return df.repartition("cell").sortWithinPartitions("cell")
+    """Cells dealt over all shuffle partitions: few bytes, but much work, so small ones must not be merged."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "cell").sortWithinPartitions("cell")
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +243,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     members = common.materialise(spark, _cells(_prefix_rows(sets, length)))
     signed = _in_cells(members.join(sets, "key"))
     wanted = common.materialise(spark, common.map_batches(signed, _candidates(length, threshold), "cell long, tree int, side int, key binary"))
-    texts = table.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("signature").alias("signature"), F.min("text").alias("text"))
+    # merged at every size: the keys wanted grow with the input, so they are never sent to all machines
+    texts = table.join(wanted.select("key").distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("signature").alias("signature"), F.min("text").alias("text"))
     full = _in_cells(wanted.join(texts, "key"))
     linked = common.materialise(spark, common.map_batches(full, _verify(length, threshold), "key binary, root binary, n long"))
     counts = linked.groupBy("key").agg(F.sum("n").alias("n_links"))
