@@ -190,21 +190,19 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield held
 
 
-_COUNT = "n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
+#: Columns that the search adds; no table's own names.
+_COUNT = "__n_words long, __spans array<struct<begin:int,end:int>>, __items array<string>"
 _SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with n_words, the hit spans in words, and the items found.
+    """``docs`` with __n_words, __spans (hit words) and __items (those found).
 
     Every column of ``docs`` stays; it needs ``text``.
     """
     spark = docs.sparkSession
-    clash = [c for c in docs.columns if c in ("n_words", "spans", "items")]
-    if clash:
-        docs = docs.drop(*clash)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast("array<struct<begin:int,end:int>>"), "items": F.lit(None).cast("array<string>")})
+    out = docs.withColumns({"__n_words": F.lit(None).cast("long"), "__spans": F.lit(None).cast("array<struct<begin:int,end:int>>"), "__items": F.lit(None).cast("array<string>")})
     for block in [*blocks(benchmark, block_bytes)] or [[]]:
         shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
 
@@ -214,7 +212,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
             for batch in batches:
                 for rows in common.slices(batch, "text"):
                     counts, spans, items = [], [], []
-                    old = zip(rows.column("spans").to_pylist(), rows.column("items").to_pylist(), strict=True)
+                    old = zip(rows.column("__spans").to_pylist(), rows.column("__items").to_pylist(), strict=True)
                     for text, (was, had) in zip(common.utf8(rows.column("text")), old, strict=True):
                         cut = words(text)
                         ids = np.fromiter(map(get, cut, none), np.int64, len(cut))
@@ -222,7 +220,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                         counts.append(len(cut))
                         spans.append((was or []) + [{"begin": a, "end": b} for a, b in hit])
                         items.append(sorted(found | set(had or ())))
-                    new = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPAN), "items": pa.array(items, pa.list_(pa.string()))}
+                    new = {"__n_words": pa.array(counts, pa.int64()), "__spans": pa.array(spans, _SPAN), "__items": pa.array(items, pa.list_(pa.string()))}
                     yield pa.RecordBatch.from_arrays([new.get(n, rows.column(n)) for n in rows.schema.names], names=rows.schema.names)
 
         out = common.map_batches(out, step, f"{fields}, {_COUNT}")
@@ -247,12 +245,12 @@ def report(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: in
     def digest(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
         for batch in batches:
-            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
             hit = [sum(b - a for a, b in _union(s)) for s in spans]
             sha = [hashlib.sha256(",".join(sorted(x or ())).encode()).hexdigest() for x in items]
             n = [len(x or ()) for x in items]
             columns = [pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([x >= min_items for x in n])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *columns], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__n_words"), *columns], schema=schema)
 
     return common.map_batches(found, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
@@ -279,7 +277,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.5, min
     def step(batches):
         for batch in batches:
             keep, texts = [], []
-            cols = (batch.column(c).to_pylist() for c in ("text", "n_words", "spans", "items"))
+            cols = (batch.column(c).to_pylist() for c in ("text", "__n_words", "__spans", "__items"))
             for text, n, spans, items in zip(*cols, strict=True):
                 merged = _union(spans)
                 hit = sum(b - a for a, b in merged)

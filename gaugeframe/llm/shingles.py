@@ -68,7 +68,7 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray,
     for k in range(width):
         use = left > k
         moved = np.zeros(len(hashes), np.uint64)
-        moved[: len(hashes) - k] = hashes[k:]
+        moved[: max(0, len(hashes) - k)] = hashes[k:]
         out = np.where(use, mix(out * np.uint64(0xD6E8FEB86659FD93) + moved), out)
     whole = left >= width
     whole[first[:-1][(counts > 0) & (counts < width)]] = True
