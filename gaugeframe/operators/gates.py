@@ -76,3 +76,20 @@ def gated(meta: DataFrame, measured: DataFrame, roi: Roi | None = None, requirem
 def within(actual: Column, expected: Column | float, tolerance: Column | float) -> Column:
     """Inclusive absolute tolerance."""
     return F.abs(actual - expected) <= tolerance
+
+
+def image_regions(regions: DataFrame, sizes: DataFrame, whole_allowed: bool = True) -> DataFrame:
+    """Regions (image_id, roi, x, y, w, h) held against image sizes: an empty one is the whole image if allowed."""
+    j = regions.join(sizes.select("image_id", "width", "height"), "image_id", "left")
+    empty = (F.col("w") == 0) | (F.col("h") == 0)
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("w") >= 0) & (F.col("h") >= 0) & (F.col("x") + F.col("w") <= F.col("width")) & (F.col("y") + F.col("h") <= F.col("height"))
+    ok = F.when(empty, F.lit(whole_allowed)).otherwise(F.coalesce(inside, F.lit(False)))
+    use = lambda c, whole: F.when(empty, whole).otherwise(F.col(c)).alias(c)
+    return j.select("image_id", "roi", ok.alias("valid"), use("x", F.lit(0)), use("y", F.lit(0)), use("w", F.col("width")), use("h", F.col("height")))
+
+
+def area_filter(rows: DataFrame, low: float, high: float, area: str = "area") -> DataFrame:
+    """Rows with an area between two limits, both inclusive; limits out of order are an error."""
+    if low > high:
+        raise ValueError("least area above largest")
+    return rows.where(F.col(area).between(low, high))

@@ -47,6 +47,17 @@ def as_image(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], li
     return run
 
 
+def as_pixels(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], list[tuple]]:
+    """A kernel image -> image as pixel rows (y, x, v)."""
+
+    def run(a: np.ndarray) -> list[tuple]:
+        out = np.clip(f(a), 0, 255).astype(int)
+        y, x = np.indices(out.shape)
+        return list(zip(y.ravel().tolist(), x.ravel().tolist(), out.ravel().tolist(), strict=True))
+
+    return run
+
+
 IMAGE_COLUMNS = [("width", "int"), ("height", "int"), ("channels", "int"), ("data", "binary")]
 
 

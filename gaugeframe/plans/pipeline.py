@@ -12,13 +12,16 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import images as im
 from ..operators import neighbourhood as nb
+from ..sources import grids
 
-#: Names a tool also answers to.
-ALIASES = {"binarize": "threshold", "blur": "filter", "edge": "edgedetection", "canny": "edgedetection", "resize": "rotatescale", "morph": "morphology"}
+#: Names a tool also answers to, fixed values.
+ALIASES = {"edge": "edgedetection", "rotateandscale": "rotatescale", "affine": "affinetransform", "affinematrix": "affinetransform"}
 
 
 @dataclass(frozen=True)
@@ -157,11 +160,40 @@ def _edges(px: DataFrame, p: dict) -> DataFrame:
     return nb.gradient(px, *kernels).select("image_id", "y", "x", F.least(F.lit(255.0), "magnitude").cast("int").alias("v"))
 
 
+def _warped(px: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A whole-image kernel over pixel rows."""
+    return im.on_images(grids.images(px), im.as_pixels(f), [("y", "int"), ("x", "int"), ("v", "int")])
+
+
+def _check_rotate(p: dict) -> None:
+    if p["scale"] <= 0:
+        raise ValueError("scale must be positive")
+
+
+def _corners(p: dict, side: str) -> np.ndarray:
+    return np.array([[p[f"{side}{axis}{i}"] for axis in "xy"] for i in range(3)], float)
+
+
+def _check_affine(p: dict) -> None:
+    im.affine_from_points(_corners(p, "s"), _corners(p, "d"))
+    if not (0 < p["width"] <= im.MAX_SIDE and 0 < p["height"] <= im.MAX_SIDE) or not 0 <= p["min_valid"] <= 1:
+        raise ValueError("output size or ratio out of range")
+
+
+def _affine(px: DataFrame, p: dict) -> DataFrame:
+    m = im.affine_from_points(_corners(p, "s"), _corners(p, "d"))
+    return _warped(px, lambda a: im.warp(a, m, p["width"], p["height"], p["min_valid"]))
+
+
+_PLACES = {f"{s}{axis}{i}": (float, float(v[axis == "y"])) for s in "sd" for i, v in enumerate(((0, 0), (1, 0), (0, 1))) for axis in "xy"}
+
 TOOLS: dict[str, Tool] = {
     "threshold": Tool({"mode": (("Fixed", "Range", "Adaptive"), "Fixed"), "low": (int, 128), "high": (int, 255), "invert": (bool, False), "size": (int, 3), "offset": (float, 0.0)}, _threshold, _check_threshold),
     "filter": Tool({"kind": (("Box", "Median"), "Box"), "size": (int, 3)}, _filter, lambda p: odd("size", p["size"])),
     "edgedetection": Tool({"kind": (("Sobel", "Scharr", "Laplacian"), "Sobel")}, _edges),
     "morphology": Tool({"op": (("erode", "dilate", "open", "close"), "open"), "size": (int, 3)}, lambda px, p: nb.morphology(px, p["op"], p["size"]), lambda p: odd("size", p["size"])),
+    "rotatescale": Tool({"scale": (float, 100.0), "angle": (float, 0.0)}, lambda px, p: _warped(px, lambda a: im.rotate_scale(a, p["scale"], p["angle"])), _check_rotate),
+    "affinetransform": Tool({**_PLACES, "width": (int, 64), "height": (int, 64), "min_valid": (float, 0.0)}, _affine, _check_affine),
     "preprocess": Tool({"low": (int, 128), "invert": (bool, False)}, lambda px, p: nb.preprocess(px, p["low"], p["invert"])),
 }
 

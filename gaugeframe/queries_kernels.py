@@ -312,3 +312,61 @@ def k_windowed_measurements(spark, d):
 @query("k_running_repeatability", f"SELECT event_type, count(value) AS n, {R('avg(value)', 4)} AS mean_v, {R('stddev_samp(value)', 4)} AS std_v, {R('6 * stddev_samp(value)', 4)} AS six_sigma FROM events GROUP BY 1")
 def k_running_repeatability(spark, d):
     return tidy(running.running_repeatability(spark.read.parquet(f"{d}/events.parquet")), 4)
+
+
+@query("b12_image_regions", f"""WITH {PIXELS_SQL}, s AS (SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height FROM pixels GROUP BY image_id), r(roi, x, y, w, h) AS (VALUES ('whole', 0, 0, 0, 0), ('in', 4, 4, 10, 20), ('out', 60, 4, 10, 20), ('neg', -1, 0, 4, 4))
+ SELECT image_id, roi, CASE WHEN w = 0 THEN true ELSE x >= 0 AND x + w <= width AND y + h <= height END AS valid, x, y, CASE WHEN w = 0 THEN width ELSE w END AS w, CASE WHEN w = 0 THEN height ELSE h END AS h FROM s, r""")
+def b12_image_regions(spark, d):
+    from .operators.gates import image_regions
+
+    sizes = grids.pixels(spark, d).groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    table = F.array(*[F.struct(F.lit(n).alias("roi"), *[F.lit(v).alias(k) for k, v in zip("xywh", r, strict=True)]) for n, *r in (("whole", 0, 0, 0, 0), ("in", 4, 4, 10, 20), ("out", 60, 4, 10, 20), ("neg", -1, 0, 4, 4))])
+    regions = sizes.select("image_id", F.inline(table))
+    return image_regions(regions, sizes)
+
+
+@query("b14_area_filter", "SELECT l_partkey, count(*) AS area FROM lineitem GROUP BY l_partkey HAVING count(*) BETWEEN 20 AND 30")
+def b14_area_filter(spark, d):
+    from .operators.gates import area_filter
+
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_partkey").agg(F.count("*").alias("area"))
+    return area_filter(rows, 20, 30)
+
+
+_TRIALS = (("threshold", {"low": "300"}), ("threshold", {"low": "9", "high": "3"}), ("filter", {"size": "4"}), ("filter", {"size": "5"}), ("rotate scale", {"scale": "0"}), ("nothing", {}), ("edge", {"kind": "scharr"}), ("affine", {"sx1": "0", "sy1": "0"}))
+
+
+@query("b15_parameter_rules", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'true' if i in (3, 6) else 'false'})" for i in range(len(_TRIALS))) + ") t(trial, valid)")
+def b15_parameter_rules(spark, d):
+    def valid(tool, p):
+        try:
+            pl.create(pl.Step(tool, p))
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(i, valid(*t)) for i, t in enumerate(_TRIALS)], "trial int, valid boolean")
+
+
+QUERIES["l6_parameter_binding"], SQL["l6_parameter_binding"] = b15_parameter_rules, SQL["b15_parameter_rules"]
+
+
+@query("l5_tool_factory", "SELECT * FROM (VALUES ('Edge', 'edgedetection'), ('Rotate_And_Scale Tool', 'rotatescale'), (' AFFINE matrix', 'affinetransform'), ('ThresholdTool', 'threshold')) t(given, tool)")
+def l5_tool_factory(spark, d):
+    return spark.createDataFrame([(n, pl.normal_name(n)) for n in ("Edge", "Rotate_And_Scale Tool", " AFFINE matrix", "ThresholdTool")], "given string, tool string")
+
+
+@query("c12_vertical_lines")
+def c12_vertical_lines(spark, d):
+    """The perpendicular at every point of a set, cut by a fixed polygon: crossings in order along it."""
+    from .functions import geometry as g
+    from .operators.neighbourhood import local_direction
+    from .queries_geometry import _POLY
+
+    p = grids.points(spark, d)
+    a = local_direction(p, "set_id", "ord", "x", "y", 4).join(p, ["set_id", "ord"])
+    dx, dy = -F.sin("angle"), F.cos("angle")
+    line = [F.col("x") - dx, F.col("y") - dy, F.col("x") + dx, F.col("y") + dy]
+    hits = F.array(*[g.segments_cross(line, [F.lit(v) for v in (*s, *e)]) for s, e in zip(_POLY, [*_POLY[1:], _POLY[0]], strict=True)])
+    found = F.array_sort(F.transform(F.filter(hits, lambda s: s["hit"]), lambda s: F.struct(s["t1"].alias("t"), s["x"].alias("x"), s["y"].alias("y"))))
+    return tidy(a.select("set_id", "ord", F.posexplode(found).alias("k", "s")).select("set_id", "ord", "k", "s.x", "s.y"), 4)

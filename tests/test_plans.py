@@ -26,7 +26,7 @@ def test_parameters_are_strict():
 
 
 def test_tool_names():
-    assert pl.normal_name(" Edge_Detection Tool ") == "edgedetection" and pl.normal_name("Morph") == "morphology"
+    assert pl.normal_name(" Edge_Detection Tool ") == "edgedetection" and pl.normal_name("Affine Matrix") == "affinetransform"
     with pytest.raises(ValueError):
         pl.create(pl.Step("nothing"))
     for bad in ({"low": "300"}, {"low": "9", "high": "3"}, {"size": "4"}):
@@ -59,7 +59,7 @@ def test_expected_failure_is_last(px):
 
 
 def test_every_tool_runs(px):
-    for name, p in (("threshold", {"mode": "adaptive"}), ("filter", {"kind": "Median"}), ("edge", {"kind": "Scharr"}), ("edge", {"kind": "Laplacian"}), ("preprocess", {"invert": "true"})):
+    for name, p in (("threshold", {"mode": "adaptive"}), ("filter", {"kind": "Median"}), ("edge", {"kind": "Scharr"}), ("edge", {"kind": "Laplacian"}), ("preprocess", {"invert": "true"}), ("Rotate And Scale", {"scale": "200"}), ("affine", {"width": "6", "height": "5"})):
         assert pl.create(pl.Step(name, p))(px).count() > 0
     pl.register("My Tool", pl.Tool({"k": (int, 1)}, lambda d, p: d.withColumn("v", F.col("v") * p["k"])))
     assert pl.create(pl.Step("my", {"k": "0"}))(px).agg(F.max("v")).first()[0] == 0
