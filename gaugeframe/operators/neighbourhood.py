@@ -1,13 +1,18 @@
 """Window-shaped operators over grids and pixel rows.
 
-Neighbourhoods are reached in one of two ways.  Rows and columns alone:
-``lead``/``lag`` over the scanline.  Squares: each cell is dealt to the cells whose
-window holds it (k * k rows a cell, one shuffle by target), never a join of
-the grid with itself.
+Neighbourhoods are reached in one of three ways, never by a join of the grid
+with itself.  Rows and columns alone: ``lead``/``lag`` over the scanline.  Squares
+with sums, minima or maxima: each cell is dealt to the cells whose window
+holds it, and what meets in one task is combined before the shuffle.  Squares
+with medians, which cannot be combined: tiles with a rim, in NumPy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,29 +31,78 @@ def windows(cells: DataFrame, key: str, row: str, col: str, value: str, size: in
     return rows.select(key, (F.col(row) - F.col("o.dr")).alias(row), (F.col(col) - F.col("o.dc")).alias(col), F.col("o.dr").alias("dr"), F.col("o.dc").alias("dc"), "v", F.col("o.w").alias("w"))
 
 
+#: Side of the tiles that hold whole windows, in cells.
+TILE = 128
+
+
+def tiled(cells: DataFrame, key: str, row: str, col: str, value: str, half: int, kernel: Callable, outputs: str) -> DataFrame:
+    """Runs ``kernel`` over tiles with a rim of ``half`` cells: for windows whose aggregate cannot be combined.
+
+    A cell is dealt to the tiles whose rim holds it, nearly always one, so about
+    one row a cell is shuffled, whatever the window.  ``kernel`` gets the heights
+    (NaN where missing or absent) and which cells exist, both with the rim, and
+    returns the output columns without it.
+    """
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / TILE), F.floor((F.col(c) + half) / TILE)))
+    dealt = cells.select(key, row, col, F.col(value).cast("double").alias("__v"), reach(row).alias("__tr")).select("*", reach(col).alias("__tc"))
+    fields = [tuple(x.split()) for x in outputs.split(", ")]
+    kinds = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+    def run(t: pa.Table) -> pa.Table:
+        y, x, v_ = (t[c].to_numpy() for c in (row, col, "__v"))
+        r0, c0 = int(t["__tr"][0].as_py()) * TILE - half, int(t["__tc"][0].as_py()) * TILE - half
+        side = TILE + 2 * half
+        v, real = np.full((side, side), np.nan), np.zeros((side, side), bool)
+        v[y - r0, x - c0], real[y - r0, x - c0] = v_.astype(float), True
+        found = kernel(v, real)
+        own = np.nonzero(real[half : side - half, half : side - half])
+        out = [pa.array([t[key][0].as_py()] * len(own[0]), pa.string()), pa.array(own[0] + r0 + half, pa.int32()), pa.array(own[1] + c0 + half, pa.int32())]
+        out += [pa.array(a[own], kinds[k], from_pandas=True) for (_, k), a in zip(fields, found, strict=True)]
+        return pa.table(out, names=[key, row, col, *(n for n, _ in fields)])
+
+    return dealt.groupBy(key, "__tr", "__tc").applyInArrow(run, f"{key} string, {row} int, {col} int, {outputs}")
+
+
+def _window_median(v: np.ndarray, size: int, centre: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Median and number of the heights in each window, with or without its centre."""
+    w = np.lib.stride_tricks.sliding_window_view(v, (size, size)).reshape(v.shape[0] - size + 1, v.shape[1] - size + 1, size * size)
+    if not centre:
+        w = np.delete(w, size * size // 2, axis=2)
+    n = np.isfinite(w).sum(axis=2)
+    w = np.sort(w, axis=2)  # missing ones last
+    pick = lambda k: np.take_along_axis(w, np.maximum(k, 0)[:, :, None], axis=2)[:, :, 0]
+    return (pick((n - 1) // 2) + pick(n // 2)) / 2, n
+
+
 def median_filter(cells: DataFrame, size: int = 3) -> DataFrame:
     """Median of the window, the centre included; missing centres stay missing; borders are clipped."""
     if size not in (3, 5, 7):
         raise ValueError("size must be 3, 5 or 7")
-    w = windows(cells, "grid_id", "row", "col", "h", size)
-    centre = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("v")))
-    real = F.max(((F.col("dr") == 0) & (F.col("dc") == 0)).cast("int"))
-    out = w.groupBy("grid_id", "row", "col").agg(F.median("v").alias("m"), centre.alias("c"), real.alias("real")).where("real = 1")
-    return out.select("grid_id", "row", "col", F.when(F.col("c").isNotNull(), F.col("m")).alias("h"), (F.col("c").isNotNull() & (F.col("m") != F.col("c"))).alias("changed"))
+    half = size // 2
+
+    def kernel(v: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, _ = _window_median(v, size, True)
+        c = v[half:-half, half:-half]
+        there = np.isfinite(c)
+        return np.where(there, m, np.nan), there & (m != c)
+
+    return tiled(cells, "grid_id", "row", "col", "h", half, kernel, "h double, changed boolean")
 
 
 def outlier_filter(cells: DataFrame, size: int = 3, max_deviation: float = 1.0, min_neighbours: int = 3) -> DataFrame:
     """Cells farther than the limit from the median of their neighbours (centre excluded) become missing."""
     if size not in (3, 5, 7):
         raise ValueError("size must be 3, 5 or 7")
-    w = windows(cells, "grid_id", "row", "col", "h", size)
-    own = (F.col("dr") == 0) & (F.col("dc") == 0)
-    out = w.groupBy("grid_id", "row", "col").agg(
-        F.median(F.when(~own, F.col("v"))).alias("m"), F.count(F.when(~own, F.col("v"))).alias("n"),
-        F.max(F.when(own, F.col("v"))).alias("c"), F.max(own.cast("int")).alias("real"),
-    ).where("real = 1")
-    outlier = F.coalesce((F.col("n") >= min_neighbours) & (F.abs(F.col("c") - F.col("m")) > max_deviation), F.lit(False))
-    return out.select("grid_id", "row", "col", F.when(~outlier, F.col("c")).alias("h"), outlier.alias("outlier"))
+    half = size // 2
+
+    def kernel(v: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, n = _window_median(v, size, False)
+        c = v[half:-half, half:-half]
+        with np.errstate(invalid="ignore"):
+            outlier = np.isfinite(c) & (n >= min_neighbours) & (np.abs(c - m) > max_deviation)
+        return np.where(np.isfinite(c) & ~outlier, c, np.nan), outlier
+
+    return tiled(cells, "grid_id", "row", "col", "h", half, kernel, "h double, outlier boolean")
 
 
 def step_edges(cells: DataFrame, threshold: float, polarity: str = "Absolute", across: str = "col") -> DataFrame:

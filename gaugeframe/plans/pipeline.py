@@ -146,9 +146,12 @@ def _threshold(px: DataFrame, p: dict) -> DataFrame:
 
 def _filter(px: DataFrame, p: dict) -> DataFrame:
     if p["kind"] == "Median":
-        w = nb.windows(px, "image_id", "y", "x", "v", p["size"])
-        own = F.max(((F.col("dr") == 0) & (F.col("dc") == 0)).cast("int"))
-        return w.groupBy("image_id", "y", "x").agg(F.median("v").cast("int").alias("v"), own.alias("real")).where("real = 1").drop("real")
+        half = p["size"] // 2
+
+        def kernel(v: np.ndarray, real: np.ndarray) -> tuple[np.ndarray]:
+            return (np.nan_to_num(nb._window_median(v, p["size"], True)[0]).astype(np.int32),)
+
+        return nb.tiled(px, "image_id", "y", "x", "v", half, kernel, "v int")
     return nb.box_mean(px, p["size"]).select("image_id", "y", "x", F.bround("mean", 0).cast("int").alias("v"))
 
 
