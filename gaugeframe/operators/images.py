@@ -375,7 +375,7 @@ CORNER_COLUMNS = [("x", "double"), ("y", "double"), ("response", "double")]
 # -- matching --------------------------------------------------------------------------------------
 def correlation(a: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Normalised correlation of a template at every place where it fits, -1..1; flat windows score 0."""
-    if t.shape[0] > a.shape[0] or t.shape[1] > a.shape[1]:
+    if not t.size or t.shape[0] > a.shape[0] or t.shape[1] > a.shape[1]:
         return np.zeros((0, 0))
     f = a.astype(float)
     k = t.astype(float) - t.mean()
@@ -404,6 +404,8 @@ def template_angles(low: float, high: float, step: float) -> list[float]:
 def match(a: np.ndarray, t: np.ndarray, min_score: float, most: int = 1, angles: list[float] = (0.0,), scales: list[float] = (100.0,)) -> list[tuple]:
     """(rank, x, y, w, h, angle, scale, score in percent) above the score; near duplicates of better ones go."""
     rows = []
+    if not t.size:
+        return rows
     for s in scales:
         for g in angles:
             k = rotate_scale(t, s, g) if s != 100.0 or abs(g) > 1e-6 else t
@@ -461,7 +463,7 @@ def edge_scores(a: np.ndarray, model: tuple[np.ndarray, np.ndarray], shape: tupl
 
 def edge_match(a: np.ndarray, t: np.ndarray, low: float, high: float, min_score: float, most: int = 1, either_polarity: bool = False) -> list[tuple]:
     """(rank, x, y, sub-pixel x and y, score) of the places at or above the score; ties by y, then x."""
-    score = edge_scores(a, edge_model(t, low, high), t.shape, either_polarity)
+    score = edge_scores(a, edge_model(t, low, high), t.shape, either_polarity) if t.size else np.zeros((0, 0))
     if not score.size:
         return []
     left, out = score.copy(), []

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import GRID_META
+from ..schemas import GRID_META, IMAGES
 
 
 @dataclass(frozen=True)
@@ -111,11 +113,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(px: DataFrame) -> DataFrame:
     """Packed images of pixel rows; absent pixels are 0."""
-    rows = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.map_from_entries(F.collect_list(F.struct((F.col("y") * 65536 + F.col("x")).alias("k"), "v"))).alias("m"))
-    value = lambda y, x: F.lpad(F.hex(F.coalesce(F.element_at("m", (y * 65536 + x).cast("int")), F.lit(0)).cast("long")), 2, "0")
-    line = lambda y: F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: value(y, x)), "")
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("height") - 1), line), ""))
-    return rows.select("image_id", "width", "height", F.lit(1).alias("channels"), data.alias("data"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        y, x, v = (t[c].to_numpy() for c in ("y", "x", "v"))
+        a = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.uint8)
+        a[y, x] = v
+        columns = [pa.array([t["image_id"][0].as_py()]), *(pa.array([n], pa.int32()) for n in (a.shape[1], a.shape[0], 1)), pa.array([a.tobytes()], pa.binary())]
+        return pa.table(columns, names=["image_id", "width", "height", "channels", "data"])
+
+    return px.select("image_id", "y", "x", "v").groupBy("image_id").applyInArrow(pack, IMAGES)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,8 @@ def test_template_is_found():
     got = im.match(a, a[20:32, 25:40], 90.0)
     assert got[0][1:3] == (25, 20) and got[0][-1] == pytest.approx(100, abs=1e-3)
     assert im.match(np.zeros((30, 30), np.uint8), a[:8, :8], 10.0) == []
+    empty = a[:0, :5]
+    assert im.match(a, empty, 10.0) == [] and im.edge_match(a, empty, 50, 150, 0.5) == [] and im.correlation(a, empty).size == 0
     score = im.correlation(a, a[5:11, 7:15])
     w = a[12:18, 9:17].astype(float)
     t = a[5:11, 7:15].astype(float)
