@@ -223,9 +223,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     """Features and labels (True: bad) of at most ``max_labelled`` labelled documents."""
     clear = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("__q"), F.max("quality").alias("__top"))
     few = clear.where("__q = __top").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", "__q")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = texts.join(F.broadcast(few), "doc_id")
-    rows = statistics(joined, ("__q",)).select("__q", *[c.alias(k) for k, c in feature_columns().items()]).limit(2 * max_labelled).toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
+    found = statistics(texts, ("doc_id", "__q")).select("doc_id", "__q", *[c.alias(k) for k, c in feature_columns().items()])
+    # one row a doc_id, in its order: the same list every time
+    rows = found.groupBy("doc_id").agg(F.min("__q").alias("__q"), *[F.min(k).alias(k) for k in FEATURES]).toPandas().sort_values("doc_id")
     return {k: rows[k].to_numpy(np.float64) for k in FEATURES}, rows["__q"].to_numpy() == 0
 
 
