@@ -15,6 +15,7 @@ from .oracle import tidy
 from .oracle import sql_round as R
 from .plans import pipeline as pl
 from .queries_geometry import fan
+from .schemas import IMAGE_STATUSES, STATUSES, image_status_of, status_of
 from .sources import grids
 from .sources.grids import PIXELS_SQL
 from .streaming import running
@@ -370,3 +371,13 @@ def c12_vertical_lines(spark, d):
     hits = F.array(*[g.segments_cross(line, [F.lit(v) for v in (*s, *e)]) for s, e in zip(_POLY, [*_POLY[1:], _POLY[0]], strict=True)])
     found = F.array_sort(F.transform(F.filter(hits, lambda s: s["hit"]), lambda s: F.struct(s["t1"].alias("t"), s["x"].alias("x"), s["y"].alias("y"))))
     return tidy(a.select("set_id", "ord", F.posexplode(found).alias("k", "s")).select("set_id", "ord", "k", "s.x", "s.y"), 4)
+
+
+_CASES_2D = "".join(f" WHEN code IN ({', '.join(map(str, v))}) THEN '{k}'" for k, v in IMAGE_STATUSES.items())
+_CASES_3D = "".join(f" WHEN code = {k} THEN '{v}'" for k, v in STATUSES.items())
+
+
+@query("l4_result_status", f"SELECT code, CASE WHEN code = 0 THEN 'Passed'{_CASES_2D} ELSE 'Failed' END AS status_2d, CASE{_CASES_3D} ELSE 'Failed' END AS status_3d FROM range(0, 1100) t(code)")
+def l4_result_status(spark, d):
+    codes = spark.range(1100).withColumnRenamed("id", "code")
+    return codes.select("code", image_status_of(F.col("code")).alias("status_2d"), status_of(F.col("code")).alias("status_3d"))

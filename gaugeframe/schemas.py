@@ -24,6 +24,29 @@ STATUSES = {
 }
 
 
+#: Error codes of 2-D tools by status, fixed values; any other code but 0 has failed.
+IMAGE_STATUSES = {
+    "InvalidInput": (100, 101, 1024),
+    "InvalidRoi": (110, 401, 501, 602, 700, 800, 850, 901, 1020),
+    "InvalidParameter": (
+        120, 350, 351, 352, 360, 361, 370, 371, 380, 381, 382, 400, 402, 500, 503, 603, 604, 605, 701, 702, 801, 851, 903,
+        1000, 1010, 1011, 1012, 1013, 1014, 1015, 1021, 1022,
+    ),
+    "ConfigurationError": (121, 130, 131, 200, 600, 601, 900, 902),
+    "Timeout": (300,),
+    "Canceled": (301,),
+    "Exception": (210, 220, 502),
+}
+
+
+def image_status_of(code: Column) -> Column:
+    """Status of a 2-D tool's error code: total over all integers."""
+    out = F.when(code == 0, "Passed")
+    for status, codes in IMAGE_STATUSES.items():
+        out = out.when(code.isin(*codes), status)
+    return out.otherwise("Failed")
+
+
 def status_of(code: Column) -> Column:
     """Status of an error code; a code without one has failed."""
     out = None

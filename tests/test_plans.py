@@ -150,6 +150,12 @@ def test_core_stands_without_the_subpackage(monkeypatch):
         importlib.reload(entry)
 
 
+def test_status_of_codes(spark):
+    got = {r.code: (r.status_2d, r.status_3d) for r in core.QUERIES["l4_result_status"](spark, "").collect()}
+    assert got[0] == ("Passed", "Passed") and got[110] == ("InvalidRoi", "InvalidRoi") and got[120] == ("InvalidParameter", "InvalidParameter")
+    assert got[403] == ("Failed", "Failed") and got[131] == ("ConfigurationError", "InsufficientData") and got[301][0] == "Canceled" and got[1016][0] == "Failed"
+
+
 ORACLES = ["d1_thickness", "d2_warpage", "d7_distribution", "e2_outliers", "e3_edges_across", "j3_sobel", "i5_regrid", "c7_mesh_edges", "f9_threshold_candidates", "h18_three_point_plane"]
 
 
