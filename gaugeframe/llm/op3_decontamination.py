@@ -195,18 +195,21 @@ _COUNT = "__n_words long, __spans array<struct<begin:int,end:int>>, __items arra
 _SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish=None, schema: str = "") -> DataFrame:
     """``docs`` with __n_words, __spans (hit words) and __items (those found).
 
-    Every column of ``docs`` stays; it needs ``text``.
+    Every column of ``docs`` stays; it needs ``text``.  ``finish`` turns each batch
+    of the last block into one of ``schema`` in the same worker.
     """
     spark = docs.sparkSession
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.withColumns({"__n_words": F.lit(None).cast("long"), "__spans": F.lit(None).cast("array<struct<begin:int,end:int>>"), "__items": F.lit(None).cast("array<string>")})
-    for block in [*blocks(benchmark, block_bytes)] or [[]]:
+    held = [*blocks(benchmark, block_bytes)] or [[]]
+    for k, block in enumerate(held, 1):
         shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
+        end = finish if k == len(held) else None
 
-        def step(batches, shared=shared):
+        def step(batches, shared=shared, end=end):
             machine = shared.value
             get, none = machine.vocab.get, repeat(-1)
             for batch in batches:
@@ -221,9 +224,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                         spans.append((was or []) + [{"begin": a, "end": b} for a, b in hit])
                         items.append(sorted(found | set(had or ())))
                     new = {"__n_words": pa.array(counts, pa.int64()), "__spans": pa.array(spans, _SPAN), "__items": pa.array(items, pa.list_(pa.string()))}
-                    yield pa.RecordBatch.from_arrays([new.get(n, rows.column(n)) for n in rows.schema.names], names=rows.schema.names)
+                    done = pa.RecordBatch.from_arrays([new.get(n, rows.column(n)) for n in rows.schema.names], names=rows.schema.names)
+                    yield end(done) if end else done
 
-        out = common.map_batches(out, step, f"{fields}, {_COUNT}")
+        out = common.map_batches(out, step, schema if end else f"{fields}, {_COUNT}")
     return out
 
 
@@ -240,19 +244,17 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
 def report(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its words, hit words, items found, and whether it is contaminated."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = find_hits(rows, benchmark, window, block_bytes).drop("text")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
-    def digest(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-        for batch in batches:
-            spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
-            hit = [sum(b - a for a, b in _union(s)) for s in spans]
-            sha = [hashlib.sha256(",".join(sorted(x or ())).encode()).hexdigest() for x in items]
-            n = [len(x or ()) for x in items]
-            columns = [pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([x >= min_items for x in n])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__n_words"), *columns], schema=schema)
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
+        hit = [sum(b - a for a, b in _union(s)) for s in spans]
+        sha = [hashlib.sha256(",".join(sorted(x or ())).encode()).hexdigest() for x in items]
+        n = [len(x or ()) for x in items]
+        columns = [pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array([x >= min_items for x in n], pa.bool_())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__n_words"), *columns], schema=schema)
 
-    return common.map_batches(found, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return find_hits(rows, benchmark, window, block_bytes, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _word_ends(text: str) -> list[tuple[int, int]]:
@@ -271,29 +273,27 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.5, min
     is counted anew where it exists.
     """
     names = docs.columns
-    found = find_hits(docs, benchmark, window)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def step(batches):
-        for batch in batches:
-            keep, texts = [], []
-            cols = (batch.column(c).to_pylist() for c in ("text", "__n_words", "__spans", "__items"))
-            for text, n, spans, items in zip(*cols, strict=True):
-                merged = _union(spans)
-                hit = sum(b - a for a, b in merged)
-                keep.append(len(items or ()) < min_items and hit <= max_hit_share * (n or 0))
-                if merged and keep[-1]:
-                    ends = _word_ends(text)
-                    for a, b in reversed(merged):
-                        text = text[: ends[a][0]] + text[ends[b - 1][1] :]
-                texts.append(text)
-            new = {"text": pa.array(texts, batch.schema.field("text").type)}
-            if "n_chars" in names:
-                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
-            out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return common.map_batches(found, step, fields)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, texts = [], []
+        cols = (batch.column(c).to_pylist() for c in ("text", "__n_words", "__spans", "__items"))
+        for text, n, spans, items in zip(*cols, strict=True):
+            merged = _union(spans)
+            hit = sum(b - a for a, b in merged)
+            keep.append(len(items or ()) < min_items and hit <= max_hit_share * (n or 0))
+            if merged and keep[-1]:
+                ends = _word_ends(text)
+                for a, b in reversed(merged):
+                    text = text[: ends[a][0]] + text[ends[b - 1][1] :]
+            texts.append(text)
+        new = {"text": pa.array(texts, batch.schema.field("text").type)}
+        if "n_chars" in names:
+            new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+        out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+        return out.filter(pa.array(keep, pa.bool_()))
+
+    return find_hits(docs, benchmark, window, finish=cut, schema=fields)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

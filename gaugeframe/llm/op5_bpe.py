@@ -178,10 +178,15 @@ class SpeculativeBpe:
         return b" ".join(map(self.raw.__getitem__, ids))
 
 
+#: Chunks and pieces whose ids a worker remembers, and bytes of text it cuts up at once.
+#: Some 200 bytes an entry: a worker stays well below half a gigabyte.
+REMEMBERED, SLICE_BYTES = 200_000, 1 << 20
+
+
 class Chunks(dict):
     """chunk without white space -> packed ids, learnt a batch at a time."""
 
-    def __init__(self, bpe: SpeculativeBpe, limit: int = 600_000):
+    def __init__(self, bpe: SpeculativeBpe, limit: int = REMEMBERED):
         super().__init__()
         self.bpe, self.limit, self.parts = bpe, limit, {}
 
@@ -222,7 +227,7 @@ def _chunks(path: str) -> Chunks:
 def packed_texts(batch: pa.RecordBatch, column: str, path: str):
     """(rows, packed ids of each text) for slices of a batch."""
     cache = _chunks(path)
-    for rows in common.slices(batch, column):
+    for rows in common.slices(batch, column, SLICE_BYTES):
         words = [t.split() for t in common.utf8(rows.column(column))]
         cache.learn(set().union(*words))
         yield rows, [b"".join(map(cache.__getitem__, w)) for w in words]

@@ -34,8 +34,8 @@ def library(path: str):
     return t
 
 
-@lru_cache(maxsize=4)
 def spec(path: str) -> dict:
+    """The file as it is; what is built from it is kept, not this."""
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
