@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
 RECALL = 0.999
 #: Sets in a block of a crowded trie node.
-BLOCK = 192
+BLOCK = 320
 #: Standard deviations that a signature may fall below the threshold.
 SLACK = 6.0
 
@@ -186,6 +186,20 @@ def _roots(n: int, links: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _sets_of(texts: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of many texts, a megabyte cut up at a time."""
+    found, part, size = [], [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= limit:
+            found.append(shingles.shingle_sets(part))
+            part, size = [], 0
+    if part:
+        found.append(shingles.shingle_sets(part))
+    return np.concatenate([v for v, _ in found]), np.concatenate([c for _, c in found])
+
+
 def _verify(length: int, threshold: float):
     """Exact similarities of the candidates of each cell; one row per linked set."""
 
@@ -197,7 +211,7 @@ def _verify(length: int, threshold: float):
             ok = _pairs(tree, np.asarray(cell["side"]), sig, length, _floor(threshold))
             if not ok.any():
                 continue
-            values, counts = shingles.shingle_sets([(t or "").encode() for t in cell["text"].to_pylist()])
+            values, counts = _sets_of([(t or "").encode() for t in cell["text"].to_pylist()])
             common_ = _intersections(values, counts)
             sizes = counts.astype(np.float64)
             # shared / union >= threshold, in whole numbers as far as floats go
