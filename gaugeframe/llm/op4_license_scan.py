@@ -28,7 +28,7 @@ from .native_spans import find
 #: Base phrases and labels, fixed values.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Every rule needs one of these (words between two spaces).
-ANCHORS = ("licen", "spdx", "public  domain", "creative  commons", "copyleft", "rights  reserved")
+ANCHORS = ("licen", "spdx", "public  domain", "creative  commons", "copyleft", "rights  reserved", "redistribution  and  use", "permission  to  use  copy")
 
 #: Known licenses: label, words of the identifier, names (words; "|" parts alternatives).
 LICENSES = (
@@ -101,9 +101,9 @@ OTHER = (
     ("creative-commons", " commons ", " creative  commons  licen[sc]e ", 3, 0.5),
     ("gpl-3.0", " version ", " general  public  licen[sc]e  (?:as  published  by  the  free  software  foundation )?(?: either )?(?: version  3 )", 1, 0.95),
     ("gpl-2.0", " version ", " general  public  licen[sc]e  (?:as  published  by  the  free  software  foundation )?(?: either )?(?: version  2 )", 1, 0.95),
-    ("mit", " charge ", " permission  is  hereby  granted  free  of  charge (?: [^ ]+ ){1,24}?(?: sublicense )", 0, 0.9),
-    ("bsd", " redistribution ", " redistribution  and  use  in  source  and  binary  forms (?: [^ ]+ ){1,60}?(?: licen[sc]e )", 0, 0.8),
-    ("isc", " purpose ", " permission  to  use  copy  modify  and  or  distribute (?: [^ ]+ ){1,40}?(?: rights  reserved )", 0, 0.8),
+    ("mit", " charge ", " permission  is  hereby  granted  free  of  charge (?: [^ ]+ ){1,60}?(?: sublicense )", 0, 0.9),
+    ("bsd", " redistribution ", " redistribution  and  use  in  source  and  binary  forms (?: [^ ]+ ){1,60}?(?: conditions  are  met )", 0, 0.8),
+    ("isc", " purpose ", " permission  to  use  copy  modify  and (?: or )?(?: distribute )(?: [^ ]+ ){1,40}?(?: this  permission  notice  appear  in  all  copies )", 0, 0.8),
 )
 
 

@@ -44,6 +44,23 @@ def test_rules_name_licenses(documents):
     assert "cc-by-4.0" in labels(documents, TEXTS[9]) and labels(documents, TEXTS[10]) == set()
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"""
+ZERO_BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"""
+
+
+def test_published_texts_without_title(documents):
+    assert labels(documents, MIT) == {"mit"}
+    assert labels(documents, BSD) == {"bsd"}
+    assert labels(documents, ISC) == labels(documents, ISC.replace("and/or", "and")) == {"isc"}
+    assert labels(documents, ZERO_BSD) == set()
+
+
 def test_containment_and_priority(documents):
     # the short gpl rule lies inside the versioned one
     r = op.scan(documents(["gnu general public license version 3"])).first()
