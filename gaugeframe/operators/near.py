@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +30,46 @@ def nearest(model: DataFrame, scene: DataFrame, reach: float, key: str = "set_id
     return best.select(key, "model", F.col("b.scene").alias("scene"), F.sqrt("b.d2").alias("distance"))
 
 
-#: Descriptors of a template that are compared with every descriptor of a scene.
-MAX_QUERY = 20_000
+#: Query and train descriptors of one block of comparisons, and queries compared at a time.
+QUERY_BLOCK, TRAIN_BLOCK, AT_ONCE = 2_048, 4_096, 128
 
 
 def ratio_matches(query: DataFrame, train: DataFrame, ratio: float) -> DataFrame:
     """For each query descriptor its nearest one, and whether it is clearly nearer than the second.
 
-    A template's descriptors are a stated query set against all rows; beyond
-    ``MAX_QUERY`` of them the call fails, and they are to be asked in blocks.
+    Every query meets every train descriptor, in blocks that spread over the
+    tasks; a block gives the two nearest (ties by id).  Queries with fewer than
+    two train descriptors have no row.
     """
-    n = query.limit(MAX_QUERY + 1).count()
-    if n > MAX_QUERY:
-        raise ValueError(f"more than {MAX_QUERY} query descriptors; ask in blocks")
-    q = query.select(F.col("id").alias("query"), F.col("embedding").alias("a"))
-    t = train.select(F.col("id").alias("train"), F.col("embedding").alias("b"))
-    diff = F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    j = t.join(F.broadcast(q), F.lit(True)).select("query", "train", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, v: s + v)).alias("d"))
-    best = j.groupBy("query").agg(F.min(F.struct("d", "train")).alias("b"))
-    second = j.join(best, "query").where(F.col("train") != F.col("b.train")).groupBy("query").agg(F.min("d").alias("d2"))
-    return best.join(second, "query").select("query", F.col("b.train").alias("train"), F.col("b.d").alias("distance"), (F.col("b.d") < ratio * F.col("d2")).alias("good"))
+    rows = lambda df, name: df.select(F.col("id").cast("long").alias(name), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    q, t = rows(query, "query"), rows(train, "train")
+    nq, nt = (max(1, -(-df.count() // size)) for df, size in ((q, QUERY_BLOCK), (t, TRAIN_BLOCK)))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
+    q = q.select("query", "v", deal("query", nq).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))).alias("tb"))
+    t = t.select("train", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"), deal("train", nt).alias("tb"))
+
+    def nearest_two(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("train", kind="stable")
+            a, b, ids = np.vstack(left.v.to_numpy()), np.vstack(right.v.to_numpy()), right.train.to_numpy()
+            bb = (b * b).sum(axis=1)
+            for at in range(0, len(a), AT_ONCE):
+                x = a[at : at + AT_ONCE]
+                xx = (x * x).sum(axis=1)
+                rough = xx[:, None] + bb - 2.0 * (x @ b.T)
+                k = min(2, len(b)) - 1
+                most = np.partition(rough, k, axis=1)[:, k] + 1e-9 * (1.0 + xx + bb.max())
+                for i, name in enumerate(left["query"].iloc[at : at + AT_ONCE]):
+                    near = np.flatnonzero(rough[i] <= most[i])
+                    d = np.sqrt(((b[near] - x[i]) ** 2).sum(axis=1))
+                    out += [(name, ids[near[j]], d[j]) for j in np.argsort(d, kind="stable")[:2]]
+        return pd.DataFrame(out, columns=["query", "train", "d"])
+
+    two = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(nearest_two, "query long, train long, d double")
+    best = two.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("d", "train"))).alias("b")).where(F.size("b") > 1)
+    first, second = F.col("b")[0], F.col("b")[1]
+    return best.select("query", first["train"].alias("train"), first["d"].alias("distance"), (first["d"] < ratio * second["d"]).alias("good"))
 
 
 def pairs(points: DataFrame, key: str = "set_id", most: int = 256) -> DataFrame:

@@ -359,6 +359,15 @@ def c13_feature_match(spark, d):
     return tidy(ratio_matches(e.where("id < 40"), e.where("id BETWEEN 40 AND 199"), 0.95))
 
 
+@query("c13_feature_match_all")
+def c13_feature_match_all(spark, d):
+    """Every twentieth descriptor against all others (the SQL of c13_feature_match holds fixed ids)."""
+    from .operators.near import ratio_matches
+
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    return tidy(ratio_matches(e.where("id % 20 = 0"), e.where("id % 20 <> 0"), 0.95))
+
+
 @query("c10_cell_assignment", f"WITH {GRID_SQL} SELECT grid_id, (r - 4) // 12 AS part_row, (c - 2) // 10 AS part_col, count(h) AS valid FROM grid WHERE r >= 4 AND c >= 2 AND (r - 4) // 12 < 8 AND (c - 2) // 10 < 6 AND (r - 4) % 12 < 10 AND (c - 2) % 10 < 8 GROUP BY ALL")
 def c10_cell_assignment(spark, d):
     from .operators.gates import Roi

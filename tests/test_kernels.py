@@ -122,6 +122,20 @@ def test_near_join_equals_all_pairs(spark):
             assert got[i][0] == j and got[i][1] == pytest.approx(d[j])
 
 
+def test_feature_matches_cover_the_whole_table(spark, small, monkeypatch):
+    from gaugeframe.queries_kernels import QUERIES
+
+    monkeypatch.setattr(near, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(near, "TRAIN_BLOCK", 100)
+    e = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    train = sorted(i for i in e if i % 20)
+    got = {r["query"]: r for r in QUERIES["j11_feature_match"](spark, small).collect()}
+    assert sorted(got) == sorted(i for i in e if i % 20 == 0)
+    for i, r in got.items():
+        d = sorted((float(np.linalg.norm(e[i] - e[j])), j) for j in train)
+        assert r.train == d[0][1] and r.distance == pytest.approx(d[0][0], abs=1e-6) and r.good == (d[0][0] < 0.9 * d[1][0])
+
+
 def test_suppression():
     rows = pd.DataFrame({"kind": ["a", "a", "b", "a"], "x": [0, 1, 0, 50], "y": [0, 0, 0, 0], "w": [10] * 4, "h": [10] * 4, "score": [0.9, 0.95, 0.5, 0.1]})
     assert sq.suppress(rows, 0.5, 9) == [1, 2, 3] and sq.suppress(rows, 0.5, 1) == [1]
