@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,9 +76,38 @@ def ratio_matches(query: DataFrame, train: DataFrame, ratio: float) -> DataFrame
 
 
 def pairs(points: DataFrame, key: str = "set_id", most: int = 256) -> DataFrame:
-    """All pairs i < j of the sets of at most ``most`` points (larger sets draw seeded pairs instead)."""
-    small = points.groupBy(key).count().where(F.col("count") <= most).select(key)
-    p = points.join(small, key)
+    """All pairs i < j of a set, or ``most`` seeded ones of a set that has more pairs than that.
+
+    Seeded pairs are drawn by the SHA-256 of the set's name and the attempt over
+    the points in order; a pair that was drawn before or whose points coincide
+    is drawn again.
+    """
+    n = points.groupBy(key).count()
+    few = F.col("count") * (F.col("count") - 1) / 2 <= most
+    p = points.join(n.where(few).select(key), key)
     a = p.select(key, F.col("ord").alias("i"))
     b = p.select(key, F.col("ord").alias("j"))
-    return a.join(b, key).where("i < j")
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord", kind="stable")
+        name, ids, at = pdf[key].iloc[0], pdf.ord.to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
+        drawn = seeded_pairs(len(ids), str(name), most, lambda i, j: np.linalg.norm(at[j] - at[i]) <= 1e-12)
+        return pd.DataFrame([(name, ids[i], ids[j]) for i, j in drawn], columns=[key, "i", "j"])
+
+    large = points.join(n.where(~few).select(key), key).select(key, F.col("ord").cast("long").alias("ord"), "x", "y", "z")
+    return a.join(b, key).where("i < j").unionByName(large.groupBy(key).applyInPandas(draw, f"{key} string, i long, j long"))
+
+
+def seeded_pairs(n: int, seed: str, most: int, same: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Up to ``most`` different pairs of n places by the SHA-256 of seed and attempt, without those that are the ``same``."""
+    out, seen = [], set()
+    for attempt in range(n * n * 32):
+        if len(out) == most:
+            break
+        h = hashlib.sha256(f"{seed.upper()}|{attempt}".encode()).digest()
+        i, j = sorted((int.from_bytes(h[:4], "big") % n, int.from_bytes(h[4:8], "big") % n))
+        if i != j and (i, j) not in seen:
+            seen.add((i, j))
+            if not same(i, j):
+                out.append((i, j))
+    return out

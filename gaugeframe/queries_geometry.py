@@ -384,6 +384,14 @@ def c15_pair_enumeration(spark, d):
     return pairs(grids.points(spark, d).where("ord < 20"))
 
 
+@query("c15_pair_enumeration_all")
+def c15_pair_enumeration_all(spark, d):
+    """256 seeded pairs over all points of each set (the SQL of c15_pair_enumeration holds the first 20)."""
+    from .operators.near import pairs
+
+    return pairs(grids.points(spark, d))
+
+
 @query("c11_line_polygon_clip", f"""WITH {TRIPLES_SQL}, e(px, py, qx, qy) AS (VALUES {', '.join(f'({p[0]}::DOUBLE, {p[1]}::DOUBLE, {q[0]}::DOUBLE, {q[1]}::DOUBLE)' for p, q in zip(_POLY, [*_POLY[1:], _POLY[0]], strict=True))}),
  s AS (SELECT set_id, ord, ax, ay, bx, by_, ((ax - px) * (qy - py) + (py - ay) * (qx - px)) / nullif((by_ - ay) * (qx - px) - (bx - ax) * (qy - py), 0) AS t1, ((px - ax) * (by_ - ay) + (ay - py) * (bx - ax)) / nullif(-((by_ - ay) * (qx - px) - (bx - ax) * (qy - py)), 0) AS t2 FROM t, e)
  SELECT set_id, ord, CAST(row_number() OVER (PARTITION BY set_id, ord ORDER BY t1) - 1 AS INTEGER) AS k, {R('ax + (bx - ax) * t1')} AS x, {R('ay + (by_ - ay) * t1')} AS y FROM s WHERE t1 BETWEEN 0 AND 1 AND t2 BETWEEN 0 AND 1""")

@@ -136,6 +136,16 @@ def test_feature_matches_cover_the_whole_table(spark, small, monkeypatch):
         assert r.train == d[0][1] and r.distance == pytest.approx(d[0][0], abs=1e-6) and r.good == (d[0][0] < 0.9 * d[1][0])
 
 
+def test_large_sets_draw_seeded_pairs(spark):
+    rows = [(k, i, float(i), 0.0, 0.0) for k, n in (("few", 23), ("many", 24), ("large", 300)) for i in range(n)] + [("same", i, 0.0, 0.0, float(i > 28)) for i in range(30)]
+    got = {}
+    for r in near.pairs(spark.createDataFrame(rows, "set_id string, ord long, x double, y double, z double")).collect():
+        got.setdefault(r.set_id, []).append((r.i, r.j))
+    assert sorted(got["few"]) == [(i, j) for i in range(23) for j in range(i + 1, 23)]
+    assert sorted(got["many"]) == sorted(sq.hypothesis_pairs(24, "many")) and sorted(got["large"]) == sorted(sq.hypothesis_pairs(300, "large"))
+    assert sorted(got["same"]) == [(i, 29) for i in range(29)]
+
+
 def test_suppression():
     rows = pd.DataFrame({"kind": ["a", "a", "b", "a"], "x": [0, 1, 0, 50], "y": [0, 0, 0, 0], "w": [10] * 4, "h": [10] * 4, "score": [0.9, 0.95, 0.5, 0.1]})
     assert sq.suppress(rows, 0.5, 9) == [1, 2, 3] and sq.suppress(rows, 0.5, 1) == [1]
