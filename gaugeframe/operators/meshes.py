@@ -81,21 +81,43 @@ def overlap(internal: DataFrame, hidden: DataFrame) -> DataFrame:
     return internal.intersect(hidden)
 
 
-#: Triangles of a mesh that are compared with every point of their set.
-MAX_TRIANGLES = 100_000
+#: Triangles of a mesh that share a cell, about; meshes up to this size have one cell.
+PER_CELL = 256
+
+
+def _candidates(points: DataFrame, triangles: DataFrame, room: float = 0.0) -> DataFrame:
+    """Points beside the triangles of their mesh that can be nearest, or as near but for ``room``; ``n`` holds what triangle_nearest gives.
+
+    Triangles are bucketed by the cell of their centre.  The farthest corner of
+    the nearest cell's box bounds a point's distance, so cells whose boxes begin
+    beyond it are left out; no mesh is too large.
+    """
+    p = lambda k: [F.col(f"{k}{c}") for c in "xyz"]
+    t = triangles.withColumns({f"__m{c}": (F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3 for c in "xyz"})
+    size = t.groupBy("mesh_id").agg(F.ceil(F.cbrt(F.count("*") / PER_CELL)).alias("__k"), *[f(f"__m{c}").alias(f"__{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    part = lambda c: F.coalesce(F.least(F.col("__k") - 1, F.floor(F.try_divide(F.col(f"__m{c}") - F.col(f"__lo{c}"), F.col(f"__hi{c}") - F.col(f"__lo{c}")) * F.col("__k"))), F.lit(0).cast("long"))
+    whole = F.col("__mx").isNotNull() & F.col("__my").isNotNull() & F.col("__mz").isNotNull()
+    cell = F.when(whole, (part("x") * F.col("__k") + part("y")) * F.col("__k") + part("z")).otherwise(F.lit(-1).cast("long"))
+    t = t.join(size, "mesh_id").withColumn("__cell", cell).select(*triangles.columns, "__cell")
+    corners = lambda f, c: f(f"a{c}", f"b{c}", f"c{c}")
+    boxes = t.groupBy("mesh_id", "__cell").agg(*[g(F.when(F.col("__cell") >= 0, corners(f, c))).alias(f"__{n}{c}") for c in "xyz" for n, f, g in (("lo", F.least, F.min), ("hi", F.greatest, F.max))])
+    least = [F.greatest(F.lit(0.0), F.col(f"__lo{c}") - F.col(c), F.col(c) - F.col(f"__hi{c}")) for c in "xyz"]
+    most = [F.greatest(F.abs(F.col(c) - F.col(f"__lo{c}")), F.abs(F.col(c) - F.col(f"__hi{c}"))) for c in "xyz"]
+    w = Window.partitionBy("mesh_id", "set_id", "ord")
+    # a box without coordinates (an index without a vertex) stays, as does all of a point without
+    null = F.col("__lox").isNull()
+    met = points.join(boxes, "mesh_id").withColumns({"__near": F.when(~null, F.sqrt(dot(least, least))), "__far": F.when(~null, F.sqrt(dot(most, most)))}).withColumn("__most", F.min("__far").over(w))
+    met = met.where(F.coalesce(F.col("__near") <= F.col("__most") * (1 + 1e-9) + room + 1e-9, F.lit(True))).select(*points.columns, "__cell")
+    return met.join(t, ["mesh_id", "__cell"]).withColumn("n", triangle_nearest(p(""), p("a"), p("b"), p("c")))
 
 
 def nearest_triangle(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """Per point the nearest triangle of its mesh (ties: lowest tri_id), unsigned and signed distance.
 
-    Joined by mesh, so a point meets only its own mesh's triangles; the sign
-    holds for face interiors only.  Meshes are given, not grown from the data,
-    and bounded by ``MAX_TRIANGLES``.
+    A point meets only triangles of its own mesh; the sign holds for face
+    interiors only (see ``recover_signs``).
     """
-    p = lambda k: [F.col(f"{k}{c}") for c in "xyz"]
-    near = triangle_nearest([F.col(c) for c in "xyz"], p("a"), p("b"), p("c"))
-    few = triangles.groupBy("mesh_id").agg(F.count("*").alias("__n")).where(F.col("__n") <= MAX_TRIANGLES).select("mesh_id")
-    j = points.join(triangles.join(few, "mesh_id"), "mesh_id").withColumn("n", near)
+    j = _candidates(points, triangles)
     best = j.groupBy("mesh_id", "set_id", "ord").agg(F.min(F.struct("n.d2", "tri_id", "n.feature", "n.side")).alias("b"))
     d = F.sqrt("b.d2")
     sign = F.when(F.col("b.d2") == 0, 0.0).when(F.col("b.feature") == "Face", F.col("b.side"))

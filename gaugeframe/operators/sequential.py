@@ -333,23 +333,18 @@ NEAR = 2.0**-23
 
 def robust_sign(p: np.ndarray, triangles: np.ndarray, ids: np.ndarray) -> tuple[float, int, float | None]:
     """(distance, triangle, sign): among the triangles as near as the nearest, a face interior or else the most upright decides."""
-    d, feature, normal, near = [], [], [], []
-    for a, b, c in triangles:
-        q, f = _closest(p, a, b, c)
-        n = np.cross(b - a, c - a)
-        size = np.linalg.norm(n)
-        normal.append(n / size if size else n)
-        near.append(q)
-        d.append(float(np.linalg.norm(p - q)))
-        feature.append(f)
-    d = np.array(d)
+    normal = np.cross(triangles[:, 1] - triangles[:, 0], triangles[:, 2] - triangles[:, 0])
+    size = np.linalg.norm(normal, axis=1)
+    normal = normal / np.where(size > 0, size, 1.0)[:, None]
+    near, face = _closest_all(p, triangles)
+    d = np.linalg.norm(p - near, axis=1)
     best = float(d.min())
     at = np.flatnonzero(d <= best + NEAR)
     tri = int(min(ids[i] for i in at if d[i] == best))
     if best == 0:
         return 0.0, tri, 0.0
     sides = np.array([float(np.dot(normal[i], p - near[i])) / max(d[i], 1e-300) for i in at])
-    inside = [k for k, i in enumerate(at) if feature[i] == "Face"]
+    inside = [k for k, i in enumerate(at) if face[i]]
     order = inside or range(len(at))
     k = min(order, key=lambda k: (-abs(sides[k]), ids[at[k]]))
     return best, tri, float(np.sign(sides[k])) if sides[k] else None
@@ -377,6 +372,21 @@ def _closest(p, a, b, c):
     return best[1], best[2]
 
 
+def _closest_all(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_closest`` for all triangles: nearest points, and whether they lie inside the face."""
+    a, ab, ac = t[:, 0], t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
+    n = np.cross(ab, ac)
+    nn = (n * n).sum(axis=1)
+    over = np.where(nn > 0, nn, 1.0)
+    v, u = (np.cross(p - a, ac) * n).sum(axis=1) / over, (np.cross(ab, p - a) * n).sum(axis=1) / over
+    face = (nn > 0) & (v > 0) & (u > 0) & (v + u < 1)
+    s, d = t[:, [0, 1, 0]], t[:, [1, 2, 2]] - t[:, [0, 1, 0]]
+    at = np.clip(((p - s) * d).sum(axis=2) / np.maximum((d * d).sum(axis=2), 1e-300), 0.0, 1.0)
+    q = s + d * at[..., None]
+    edge = q[np.arange(len(t)), ((p - q) ** 2).sum(axis=2).argmin(axis=1)]
+    return np.where(face[:, None], a + ab * v[:, None] + ac * u[:, None], edge), face
+
+
 def robust_signs(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """Distance, triangle and recovered sign of every point of a mesh's set."""
 

@@ -317,11 +317,14 @@ def b16_surface_selection(spark, d):
     return meshes.select_surface(t.unionByName(again), pick(5, 0), pick(7, 1)).select("mesh_id", "tri_id")
 
 
+def raised(spark, d):
+    """All points of every set, lifted off the mesh they span by their raw height."""
+    return grids.points(spark, d).withColumns({"mesh_id": F.col("set_id"), "z": F.col("z") + F.col("raw_h")})
+
+
 def _near(spark, d):
     v, i = fan(spark, d)
-    tri = meshes.look_up(i, v).where("tri_id < 20")
-    p = grids.points(spark, d).where("ord >= 60").withColumn("mesh_id", F.col("set_id"))
-    return meshes.nearest_triangle(p, tri)
+    return meshes.nearest_triangle(raised(spark, d), meshes.look_up(i, v))
 
 
 @query("c3_point_to_mesh")

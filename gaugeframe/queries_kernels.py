@@ -14,7 +14,7 @@ from .operators import sequential as sq
 from .oracle import tidy
 from .oracle import sql_round as R
 from .plans import pipeline as pl
-from .queries_geometry import fan
+from .queries_geometry import fan, raised
 from .schemas import IMAGE_STATUSES, STATUSES, image_status_of, status_of
 from .sources import grids
 from .sources.grids import PIXELS_SQL
@@ -111,8 +111,7 @@ def c4_robust_sign(spark, d):
     from .operators import meshes
 
     v, i = fan(spark, d)
-    p = grids.points(spark, d).where("ord >= 80").withColumn("mesh_id", F.col("set_id"))
-    return tidy(sq.robust_signs(p, meshes.look_up(i, v).where("tri_id < 20")), 5)
+    return tidy(sq.robust_signs(raised(spark, d), meshes.look_up(i, v)), 5)
 
 
 @query("i7_model_preparation")

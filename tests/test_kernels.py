@@ -91,6 +91,36 @@ def test_nearest_triangle_equals_numpy(spark):
         assert r.distance == pytest.approx(d, abs=1e-9) and r.tri_id == i and r.feature == f
 
 
+def test_large_meshes_keep_all_points(spark, monkeypatch):
+    monkeypatch.setattr(meshes, "PER_CELL", 4)
+    r = np.random.default_rng(3)
+    tri = (r.random((300, 1, 3)) * 4 + r.random((300, 3, 3)) * 0.5).reshape(300, 9)
+    pts = r.random((40, 3)) * 6 - 1
+    cols = ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz")
+    t = spark.createDataFrame([("m", i, *map(float, x)) for i, x in enumerate(tri)], f"mesh_id string, tri_id int, {cols}")
+    p = spark.createDataFrame([("m", "s", i, *map(float, x)) for i, x in enumerate(pts)], "mesh_id string, set_id string, ord long, x double, y double, z double")
+    met = meshes._candidates(p, t)
+    assert met.count() < 40 * 300 / 3
+    got = meshes.nearest_triangle(p, t).collect()
+    assert len(got) == 40
+    for k in got:
+        near, _ = sq._closest_all(pts[k.ord], tri.reshape(-1, 3, 3))
+        d = np.linalg.norm(near - pts[k.ord], axis=1)
+        assert k.tri_id == d.argmin() and k.distance == pytest.approx(d.min(), abs=1e-9)
+    one = [sq._closest(pts[0], *x.reshape(3, 3))[0] for x in tri]
+    assert np.allclose(one, sq._closest_all(pts[0], tri.reshape(-1, 3, 3))[0])
+
+
+def test_mesh_queries_take_all_points(spark, small):
+    from gaugeframe import queries_geometry, queries_kernels
+
+    n = queries_geometry.grids.points(spark, small).count()
+    got = queries_geometry.QUERIES["c3_point_to_mesh"](spark, small).collect()
+    assert len(got) == n and max(r.tri_id for r in got) > 80 and min(r.distance for r in got) < 0.5
+    signs = {(r.mesh_id, r.ord): r for r in queries_kernels.QUERIES["c4_robust_sign"](spark, small).collect()}
+    assert len(signs) == n and all(signs[r.mesh_id, r.ord].distance == pytest.approx(r.distance, abs=2e-5) for r in got)
+
+
 def test_mesh_comparison_fixture(spark):
     cols = ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz")
     t = spark.createDataFrame([("m", 3, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0, 0.0)], f"mesh_id string, tri_id int, {cols}")
