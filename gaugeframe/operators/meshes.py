@@ -124,8 +124,35 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame) -> DataFrame:
     return best.select("mesh_id", "set_id", "ord", d.alias("distance"), F.col("b.tri_id").alias("tri_id"), F.col("b.feature").alias("feature"), (sign * d).alias("signed"))
 
 
+#: Triangles this little farther than the nearest one have a say in a recovered sign, fixed value.
+NEAR = 2.0**-23
+
+
+def recover_signs(near: DataFrame, points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """``nearest_triangle`` with the signs it left open, and whether a sign was ``recovered``.
+
+    Among the triangles within ``NEAR`` of the nearest, the nearest face interior
+    decides, else the most upright one (ties: lowest tri_id); a point in its
+    plane counts as above.
+    """
+    keys = ["mesh_id", "set_id", "ord"]
+    p = lambda k: [F.col(f"{k}{c}") for c in "xyz"]
+    j = _candidates(points.join(near.where(F.col("signed").isNull()).select(*keys, F.col("distance").alias("__d")), keys), triangles, NEAR)
+    normal = cross(minus(p("b"), p("a")), minus(p("c"), p("a")))
+    side = dot(minus(p(""), p("a")), normal)
+    d, face = F.sqrt("n.d2"), F.col("n.feature") == "Face"
+    upright = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.abs(side), F.sqrt(dot(normal, normal)) * d), F.lit(0.0)))
+    j = j.where(d <= F.col("__d") + NEAR)
+    best = j.groupBy(*keys).agg(F.min(F.struct((~face).alias("edge"), F.when(face, d).otherwise(-upright).alias("by"), "tri_id", d.alias("d"), side.alias("side"))).alias("b"))
+    found = best.select(*keys, F.when(F.col("b.side") < 0, -F.col("b.d")).otherwise(F.col("b.d")).alias("__s"))
+    out = near.join(found, keys, "left").withColumn("recovered", F.col("signed").isNull() & F.col("__s").isNotNull())
+    return out.withColumn("signed", F.coalesce("signed", "__s")).drop("__s")
+
+
 def compare(near: DataFrame, low: float, high: float) -> DataFrame:
-    """Counts below, within and above the tolerance, and statistics of both distances; one unresolved sign fails the set."""
+    """Counts below, within and above the tolerance, of signs found directly and recovered, and statistics of both distances; one unresolved sign fails the set."""
+    recovered = F.col("recovered") if "recovered" in near.columns else F.lit(False)
     stats = [f.alias(f"{n}_{c}") for c in ("distance", "signed") for n, f in (("min", F.min(c)), ("max", F.max(c)), ("mean", F.avg(c)), ("std", F.stddev_pop(c)), ("rms", F.sqrt(F.avg(F.col(c) * F.col(c)))))]
-    agg = near.groupBy("mesh_id", "set_id").agg(F.count("*").alias("n"), F.count_if(F.col("signed").isNull()).alias("unresolved"), F.count_if(F.col("signed") < low).alias("below"), F.count_if(F.col("signed").between(low, high)).alias("inside"), F.count_if(F.col("signed") > high).alias("above"), *stats)
+    signs = [F.count_if(F.col("signed").isNotNull() & ~recovered).alias("direct"), F.count_if(recovered).alias("recovered")]
+    agg = near.groupBy("mesh_id", "set_id").agg(F.count("*").alias("n"), *signs, F.count_if(F.col("signed").isNull()).alias("unresolved"), F.count_if(F.col("signed") < low).alias("below"), F.count_if(F.col("signed").between(low, high)).alias("inside"), F.count_if(F.col("signed") > high).alias("above"), *stats)
     return agg.withColumn("success", F.col("unresolved") == 0)

@@ -335,7 +335,8 @@ def c3_point_to_mesh(spark, d):
 
 @query("c5_mesh_comparison")
 def c5_mesh_comparison(spark, d):
-    return tidy(meshes.compare(_near(spark, d), -0.2, 0.2), 5)
+    v, i = fan(spark, d)
+    return tidy(meshes.compare(meshes.recover_signs(_near(spark, d), raised(spark, d), meshes.look_up(i, v)), -0.2, 0.2), 5)
 
 
 QUERIES["d17_deviation_statistics"] = c5_mesh_comparison

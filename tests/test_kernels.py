@@ -131,6 +131,26 @@ def test_mesh_comparison_fixture(spark):
     assert not meshes.compare(meshes.nearest_triangle(edge, t), -9.0, 9.0).first().success
 
 
+def test_mesh_comparison_recovers_signs(spark):
+    cols = ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz")
+    t = spark.createDataFrame([("m", 3, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0, 0.0)], f"mesh_id string, tri_id int, {cols}")
+    at = [(0.5, 0.5, 1.0), (1.0, -1.0, 1.0), (1.0, -1.0, -1.0), (1.0, -1.0, 0.0), (-3.0, -4.0, 0.5)]
+    p = spark.createDataFrame([("m", "s", i, *x) for i, x in enumerate(at)], "mesh_id string, set_id string, ord long, x double, y double, z double")
+    near = meshes.recover_signs(meshes.nearest_triangle(p, t), p, t)
+    got = {r.ord: (r.signed, r.recovered) for r in near.collect()}
+    assert got[0] == (1.0, False) and [got[i][1] for i in (1, 2, 3, 4)] == [True] * 4
+    assert got[1][0] == pytest.approx(2**0.5) and got[2][0] == pytest.approx(-(2**0.5)) and got[3][0] == 1.0
+    r = meshes.compare(near, -1.2, 1.2).first()
+    assert (r.n, r.direct, r.recovered, r.unresolved, r.below, r.inside, r.above, r.success) == (5, 1, 4, 0, 1, 2, 2, True)
+    r = np.random.default_rng(8)
+    tri, pts = r.random((30, 3, 3)), r.random((40, 3)) * 2 - 0.5
+    t = spark.createDataFrame([("m", i, *map(float, x.ravel())) for i, x in enumerate(tri)], f"mesh_id string, tri_id int, {cols}")
+    p = spark.createDataFrame([("m", "s", i, *map(float, x)) for i, x in enumerate(pts)], "mesh_id string, set_id string, ord long, x double, y double, z double")
+    for k in meshes.recover_signs(meshes.nearest_triangle(p, t), p, t).collect():
+        d, _, sign = sq.robust_sign(pts[k.ord], tri, np.arange(30))
+        assert k.signed == pytest.approx(sign * d, abs=1e-9)
+
+
 def test_square_edges_fixture(spark):
     v = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
     rows = [("m", k, *i, *[c for j in i for c in (*v[j], 0.0)]) for k, i in enumerate([(0, 1, 2), (0, 2, 3)])]
