@@ -61,7 +61,7 @@ def f7_key_points(spark, d):
 
 @query("i2_line_fit")
 def i2_line_fit(spark, d):
-    p = grids.points(spark, d).where("ord < 40").withColumns({"y": F.col("x") * 0.5 + F.when(F.col("ord") % 4 == 0, F.col("y")).otherwise(0.0), "z": F.col("x") * 2.0})
+    p = grids.points(spark, d).withColumns({"y": F.col("x") * 0.5 + F.when(F.col("ord") % 4 == 0, F.col("y")).otherwise(0.0), "z": F.col("x") * 2.0})
     return tidy(sq.line_fits(p, 0.02, 6, 0.5, 0.1))
 
 
@@ -101,7 +101,7 @@ def i8_pose_search(spark, d):
 
 @query("i9_multiple_matches")
 def i9_multiple_matches(spark, d):
-    p = grids.points(spark, d).where("ord < 24").withColumn("side", F.when(F.col("ord") < 3, 0).otherwise(1))
+    p = grids.points(spark, d).withColumn("side", F.when(F.col("ord") < 3, 0).otherwise(1))
     copy = p.where("side = 0").select("set_id", F.lit(1).alias("side"), (F.col("ord") + 900).alias("ord"), (F.col("x") + 5).alias("x"), (F.col("y") - 1).alias("y"), "z")
     return tidy(sq.instances(p.select("set_id", "side", "ord", "x", "y", "z").unionByName(copy), [np.eye(3)], 0.01, 3, 4))
 

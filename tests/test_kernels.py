@@ -196,6 +196,15 @@ def test_large_sets_draw_seeded_pairs(spark):
     assert sorted(got["same"]) == [(i, 29) for i in range(29)]
 
 
+def test_line_fits_and_matches_take_all_points(spark, small, monkeypatch):
+    from gaugeframe import queries_kernels as k
+
+    assert all(r.inliers > 40 for r in k.QUERIES["i2_line_fit"](spark, small).collect())
+    monkeypatch.setattr(sq, "instances", lambda groups, *_: groups)
+    sides = k.QUERIES["i9_multiple_matches"](spark, small).groupBy("set_id").pivot("side", [0, 1]).count().collect()
+    assert {(r["0"], r["1"]) for r in sides} == {(3, 100)}
+
+
 def test_suppression():
     rows = pd.DataFrame({"kind": ["a", "a", "b", "a"], "x": [0, 1, 0, 50], "y": [0, 0, 0, 0], "w": [10] * 4, "h": [10] * 4, "score": [0.9, 0.95, 0.5, 0.1]})
     assert sq.suppress(rows, 0.5, 9) == [1, 2, 3] and sq.suppress(rows, 0.5, 1) == [1]
