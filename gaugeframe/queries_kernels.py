@@ -239,7 +239,7 @@ def j14_proposals(spark, d):
     return tidy(im.on_images(_images(spark, d), lambda a: im.propose(a, 24, 10, 0.2, 4), im.PROPOSAL_COLUMNS), 4)
 
 
-QUERIES["a6_template_input"], QUERIES["a7_representative_images"] = j12_template_match, j14_proposals
+QUERIES["a6_template_input"] = j12_template_match
 
 
 @query("j11_feature_match")

@@ -205,6 +205,12 @@ def test_line_fits_and_matches_take_all_points(spark, small, monkeypatch):
     assert {(r["0"], r["1"]) for r in sides} == {(3, 100)}
 
 
+def test_representative_images_are_not_claimed():
+    from gaugeframe.queries_kernels import QUERIES
+
+    assert "a7_representative_images" not in QUERIES
+
+
 def test_suppression():
     rows = pd.DataFrame({"kind": ["a", "a", "b", "a"], "x": [0, 1, 0, 50], "y": [0, 0, 0, 0], "w": [10] * 4, "h": [10] * 4, "score": [0.9, 0.95, 0.5, 0.1]})
     assert sq.suppress(rows, 0.5, 9) == [1, 2, 3] and sq.suppress(rows, 0.5, 1) == [1]
