@@ -12,6 +12,9 @@ _MARKS = rb"[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*"
 #: neither begin a contraction nor a special token: each makes pieces of its own.
 SIMPLE = re.compile(rb"(" + _MARKS + rb")((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(" + _MARKS + rb")")
 
+#: Lower case for the letters of ``SIMPLE``: A-Z, and what follows \xc3 in the upper half.
+LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256))
+
 
 def default_path() -> str:
     """Where the public word-level BPE file lies."""
@@ -40,6 +43,18 @@ def spec(path: str) -> dict:
         return json.load(f)
 
 
+def check(spec: dict, pieces: str) -> None:
+    """Refuses a file whose normalisation or splitting is not the one that is built here."""
+    normal = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    split = {"type": "Split", "pattern": {"Regex": pieces}, "behavior": "Removed", "invert": True}
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    plain = all(not spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    bare = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+    if spec.get("normalizer") != normal or before[0] != split or not level.items() <= before[-1].items() or len(before) != 2 or not plain or not bare or spec.get("decoder"):
+        raise ValueError("this vocabulary file normalises or splits in a way that is not built here")
+
+
 @lru_cache(maxsize=1)
 def byte_alphabet() -> tuple[str, ...]:
     """The character that stands for each byte in byte-level vocabularies.

@@ -1,8 +1,10 @@
 import hashlib
+import json
 import random
 import struct
 
 import numpy as np
+import pytest
 
 from gaugeframe.llm import op5_bpe as op
 from gaugeframe.llm import vocab
@@ -60,7 +62,32 @@ def test_encode_and_decode_frames(spark, documents):
 
 
 def test_cache_stays_bounded():
-    c = op.Chunks(op._chunks(PATH).bpe, 10)
+    c = op.Chunks(op._chunks(PATH).bpe, 10 * op._ENTRY)
     for i in range(20):
-        c.learn({f"w{i}{j}".encode() for j in range(5)})
-        assert len(c) <= 10
+        c.learn({f"w{i}{j}".encode() for j in range(5)} | {b"always"})
+        assert len(c) + len(c.old) <= 30 and len(c.parts) + len(c.parts.old) <= 30
+        assert b"always" in c
+
+
+def test_very_long_pieces_equal_library():
+    bpe, lib = op._chunks(PATH).bpe, vocab.library(PATH)
+    r = random.Random(6)
+    for word in ("a" * 5000, "".join(r.choice("aeilnorst") for _ in range(200_000)), "ab" * 300):
+        assert bpe.encode_pieces([word, "short"])[0] == lib.encode(word, add_special_tokens=False).ids
+
+
+def test_merging_beside_others_equals_merging_alone():
+    bpe = op._chunks(PATH).bpe
+    r = random.Random(7)
+    words = [bpe.symbols("".join(r.choice("abinegrst") for _ in range(r.randint(1, 30)))) for _ in range(500)]
+    assert bpe.merge_many(words) == [bpe.merge(w) for w in words]
+    assert bpe.merge_many([]) == []
+
+
+def test_other_files_are_refused(tmp_path):
+    spec = vocab.spec(PATH)
+    spec["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="not built"):
+        op.SpeculativeBpe(str(other))
