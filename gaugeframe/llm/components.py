@@ -7,29 +7,39 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Partitions over which the rows of one hot key are dealt.
+SALTS = 16
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+
+def spread_join(big: DataFrame, small: DataFrame, on: str, by: list[str], salts: int = SALTS) -> DataFrame:
+    """Inner join of ``big`` with one row of ``small`` a key; rows of a hot key are dealt by ``by`` over ``salts`` tasks."""
+    dealt = big.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, [on, "salt"]).drop("salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, root: every node of ``edges`` (a, b) with the least node it reaches.
 
     Alternating stars: the large step links each node's larger neighbours to
     its least neighbour, the small step the smaller ones, until nothing
     changes.  Each round is written to the shared folder; only one number
-    per round comes to the driver.
+    per round comes to the driver.  The edges of a large class's root are dealt
+    over several tasks.  Every round that changes anything brings some label
+    down, so the rounds end by themselves.
     """
     spark = edges.sparkSession
     now = common.materialise(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both, least, "u", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least)
+        small = spread_join(large, least, "u", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least)
         now = common.materialise(spark, small.distinct())
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
