@@ -5,15 +5,21 @@ with the least hash, the leftmost of equals.  Equal windows choose equal
 anchors at equal places, so windows with different anchors need never meet.
 Consecutive windows of a text with one anchor make a segment.
 
-1. Segments are counted by (anchor, content).  Of a content that occurs twice,
-   all windows are repeats.
+1. Segments whose anchor stands alone go at once.  The others are counted by
+   anchor and content (192 bits of hashes).  Of a content that occurs twice,
+   all windows are repeats; one of its occurrences stands for it from here on.
 2. Under an anchor with several contents, of which one occurs once, the
    contents' bytes are fetched and suffix-sorted in two stages (``two_stage``);
-   adjacent common prefixes of ``LENGTH`` bytes tell the repeats.  An anchor
-   with more than ``CROWD`` contents is not brought together: its windows are
-   counted by hash instead, which has no group at all.
-3. Repeats of a text are joined to it, and the rest of its bytes stays.
-
+   adjacent common prefixes of ``LENGTH`` bytes tell the repeats.
+3. An anchor with more than ``CROWD`` contents is first split by the bytes around it
+   (``split``): windows that begin far before it by the bytes before, the others
+   by the bytes behind, all of which they hold.  Equal windows stay together,
+   equal parts become one, and the halves are split again until no group is
+   crowded; at the eighth split a group is one string.  So the same sorting
+   serves every size, with bounded groups.
+4. Repeats of a text are joined to it, and the rest of its bytes stays.
+
+A row is known by its doc_id and a hash of its text.
 Texts are UTF-8 bytes, null is empty; matches never cross documents; windows
 overlap freely; the input is judged, not what is left of it.  Repeated rows are
 documents that repeat each other.  Texts below ``LENGTH`` bytes lose nothing.
@@ -30,21 +36,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, shingles, two_stage
+from .components import spread_join
 
 LENGTH, GRAM = 200, 32
-#: Distinct contents under one anchor that are sorted together, and bytes sorted at once.
-CROWD, CELL_BYTES = 8192, 2 << 20
+#: Contents of a group that are sorted together, and bytes sorted at once.
+CROWD, CELL_BYTES = 2048, 2 << 20
 #: Bytes of a text that are hashed together, and bits of a place among them.
 PIECE, _PLACE = 4 << 20, 24
 
 
-def _prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of which any substring's hash is a difference, and the inverse powers that place it."""
+#: Values of the bytes for a second hash beside the first.
+_OTHER = shingles.mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def _prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two rows of sums of which any substring's hash is a difference, and the inverse powers that place it."""
     n = 1 << max(12, int(max(1, len(raw) - 1)).bit_length())
     power, inverse = shingles._powers(n)
-    total = np.zeros(len(raw) + 1, np.uint64)
+    total, other = (np.zeros(len(raw) + 1, np.uint64) for _ in range(2))
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64, out=total[1:])
-    return total, inverse
+    np.cumsum(_OTHER[raw] * power[: len(raw)], dtype=np.uint64, out=other[1:])
+    return total, other, inverse
 
 
 def _hashes(total: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -52,7 +64,7 @@ def _hashes(total: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end: np.n
 
 
 def segments(texts: list[bytes], piece: int = PIECE) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor hash, content hash) of every segment of the texts.
+    """(text, start, windows, place of the anchor from the start, anchor hash, two content hashes) of every segment of the texts.
 
     A longer text is cut in pieces that share LENGTH - 1 bytes, so each window is
     in one of them; a segment that is cut is two contents, which sorting compares.
@@ -64,7 +76,7 @@ def segments(texts: list[bytes], piece: int = PIECE) -> tuple[np.ndarray, ...]:
 
 
 def _segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, np.int64) for _ in range(7))
     if sum(map(len, texts)) >= 1 << _PLACE:
         parts = [_segments([t]) for t in texts]
         return (np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts]), *(np.concatenate(c) for c in list(zip(*parts, strict=True))[1:]))
@@ -74,7 +86,7 @@ def _segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(b"".join(texts[i] for i in long_), np.uint8)
     sizes = np.array([len(texts[i]) for i in long_], np.int64)
     begin = np.cumsum(sizes) - sizes
-    total, inverse = _prefix_hash(raw)
+    total, other, inverse = _prefix_hash(raw)
     n = len(raw)
     at = np.arange(n - GRAM + 1)
     gram = _hashes(total, inverse, at, at + GRAM)
@@ -97,41 +109,98 @@ def _segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(new)
     many = np.diff(np.append(head, len(doc)))
     start, place = window[head], chosen[head]
-    content = _hashes(total, inverse, start, start + many - 1 + LENGTH)
-    content = shingles.mix(content + (place - start).astype(np.uint64) * np.uint64(1 << 32) + many.astype(np.uint64))
+    end = start + many - 1 + LENGTH
+    mark = (place - start).astype(np.uint64) * np.uint64(1 << 32) + many.astype(np.uint64)
+    content = [shingles.mix(_hashes(x, inverse, start, end) + mark).view(np.int64) for x in (total, other)]
     of = doc[head]
-    return np.array(long_)[of], start - begin[of], many, gram[place].view(np.int64), content.view(np.int64)
+    return np.array(long_)[of], start - begin[of], many, place - start, gram[place].view(np.int64), *content
+
+
+#: The columns that name a row, and those that name a content.
+ROW, CONTENT = ["doc", "h"], ["anchor", "c1", "c2"]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id and text (null: empty), and the row's name; without a doc_id more of the text's hash takes its place."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    return rows.withColumns({"doc": F.coalesce("doc_id", F.hash("text").cast("long")), "h": F.xxhash64("text", F.col("doc_id").isNull())})
 
 
 def _segment_rows(rows: DataFrame) -> DataFrame:
+    """One row a segment; ``place`` holds its start, windows and the anchor's place, in 16 low bits the latter two."""
+
     def step(batches):
         for batch in batches:
             for part in common.slices(batch, "text", 1 << 20):
-                of, start, many, anchor, content = segments(common.utf8(part.column("text")))
-                columns = [pa.array(anchor), pa.array(content), part.column("row").take(pa.array(of)), pa.array(start.astype(np.int64)), pa.array(many.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "row", "start", "windows"])
+                of, start, many, at, anchor, c1, c2 = segments(common.utf8(part.column("text")))
+                own = [part.column(c).take(pa.array(of)) for c in ROW]
+                columns = [pa.array(anchor), pa.array(c1), pa.array(c2), *own, pa.array((start << 16) | (many << 8) | at)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*CONTENT, *ROW, "place"])
+
+    return common.map_batches(rows.select(*ROW, "text"), step, "anchor long, c1 long, c2 long, doc long, h long, place long")
+
+
+def _start():
+    return F.shiftright("place", 16)
+
+
+def _windows():
+    return F.shiftright("place", 8).bitwiseAND(F.lit(255))
+
+
+_PARTS = pa.schema([("cell", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("once", pa.bool_()), ("data", pa.binary())])
+_PARTS_SQL = "cell long, doc long, h long, start long, windows int, at int, low int, high int, once boolean, data binary"
 
-    return common.map_batches(rows.select("row", "text"), step, "anchor long, content long, row long, start long, windows int")
+
+def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARTS.types, strict=True)], schema=_PARTS)
 
 
 def _fetch(batches):
     """The bytes of the listed segments of each text."""
-    schema = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("once", pa.bool_()), ("crowded", pa.bool_()), ("data", pa.binary())])
     for batch in batches:
-        out = []
-        for text, row, wanted in zip(common.utf8(batch.column("text")), batch.column("row").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        out, size = [], 0
+        for text, doc, h, wanted in zip(common.utf8(batch.column("text")), *(batch.column(c).to_pylist() for c in (*ROW, "wanted")), strict=True):
             for w in wanted:
-                out.append((w["anchor"], row, w["start"], w["windows"], w["once"], w["crowded"], text[w["start"] : w["start"] + w["windows"] - 1 + LENGTH]))
+                start, many, at = w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255
+                out.append((w["anchor"], doc, h, start, many, at, 0, LENGTH - GRAM, w["once"], text[start : start + many - 1 + LENGTH]))
+                size += LENGTH + many
+            if size > common.BATCH_BYTES:
+                yield _part_batch(out)
+                out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            yield _part_batch(out)
 
 
-_SPANS = pa.schema([("row", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+def split(cell: int, at: int, windows: int, low: int, high: int, data: bytes):
+    """(cell, first window, windows, low, high) of the halves of one part of a crowded group.
+
+    Window k holds the anchor at ``at - k``, and all windows of the group hold it
+    from ``low`` to ``high``.  Those that hold it at ``mid`` or later share the
+    ``mid`` bytes before it; the others share those behind it up to the end of the
+    last of them.  A half's cell is a digest of all the bytes its windows share.
+    """
+    mid = (low + high + 1) // 2
+    for a, b in ((mid, high), (low, mid - 1)):
+        first, last = max(0, at - b), min(windows - 1, at - a)
+        if first <= last:
+            shared = data[at - a : at - b + LENGTH]
+            name = hashlib.blake2b(b"%d %d %d " % (cell, a, b) + shared, digest_size=8).digest()
+            yield int.from_bytes(name, "little", signed=True), first, last - first + 1, a, b
+
+
+def _halves(batches):
+    """The halves of every part of a crowded group."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            for cell, first, many, low, high in split(r["cell"], r["at"], r["windows"], r["low"], r["high"], r["data"]):
+                out.append((cell, r["doc"], r["h"], r["start"] + first, many, r["at"] - first, low, high, r["once"], r["data"][first : first + many - 1 + LENGTH]))
+        if out:
+            yield _part_batch(out)
+
+
+_SPANS = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
 def repeats(data: list[bytes], windows: np.ndarray) -> np.ndarray:
@@ -164,20 +233,20 @@ def _runs(flags: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sort_cells(batches):
-    """Sorts whole anchors together, some at a time, and gives the repeats of contents that occur once."""
+    """Sorts whole groups together, some at a time, and gives the repeats of contents that occur once."""
 
     def done(rows):
         data = [r["data"] for r in rows]
         windows = np.array([r["windows"] for r in rows], np.int64)
         seg, a, b = _runs(repeats(data, windows), windows)
-        out = [(rows[s]["row"], rows[s]["start"] + x, rows[s]["start"] + y + LENGTH) for s, x, y in zip(seg.tolist(), a.tolist(), b.tolist(), strict=True) if rows[s]["once"]]
+        out = [(rows[s]["doc"], rows[s]["h"], rows[s]["start"] + x, rows[s]["start"] + y + LENGTH) for s, x, y in zip(seg.tolist(), a.tolist(), b.tolist(), strict=True) if rows[s]["once"]]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_SPANS)
 
     held, size = [], 0
     for batch in batches:
-        for row in batch.to_pylist():
-            if size >= CELL_BYTES and row["anchor"] != held[-1]["anchor"]:
+        for row in batch.select(["cell", "doc", "h", "start", "windows", "once", "data"]).to_pylist():
+            if size >= CELL_BYTES and row["cell"] != held[-1]["cell"]:
                 yield from done(held)
                 held, size = [], 0
             held.append(row)
@@ -186,44 +255,60 @@ def _sort_cells(batches):
         yield from done(held)
 
 
-def _window_hashes(batches):
-    """Two hashes of every window of the segments."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("once", pa.bool_())])
-    for batch in batches:
-        for row in batch.to_pylist():
-            raw = np.frombuffer(row["data"], np.uint8)
-            total, inverse = _prefix_hash(raw)
-            at = np.arange(row["windows"])
-            h = _hashes(total, inverse, at, at + LENGTH)
-            second = [int.from_bytes(hashlib.blake2b(row["data"][i : i + LENGTH], digest_size=8).digest(), "little", signed=True) for i in at.tolist()]
-            n = len(at)
-            columns = [pa.array(h.view(np.int64)), pa.array(second, pa.int64()), pa.array([row["row"]] * n, pa.int64()), pa.array(at + row["start"]), pa.array([row["once"]] * n)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+def _small_groups(parts: DataFrame, crowd: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Parts in groups of at most ``crowd`` with something to find, and the spans found on the way."""
+    spark, small, spans = parts.sparkSession, [], []
+    while True:
+        sizes = parts.groupBy("cell").agg(F.count("*").alias("m"))
+        small.append(parts.join(sizes.where(f"m <= {crowd}").select("cell"), "cell", "left_semi"))
+        crowded = sizes.where(f"m > {crowd}")
+        if crowded.isEmpty():
+            break
+        halves = common.materialise(spark, common.map_batches(spread_join(parts, crowded.select("cell"), "cell", [*ROW, "start"]), _halves, _PARTS_SQL))
+        halves = halves.withColumn("content", F.sha2("data", 256))
+        # equal halves are repeats of each other; one stands for them
+        equal = halves.groupBy("cell", "content").agg(F.count("*").alias("n"), F.min(F.struct(*_PARTS.names[1:-1], "data")).alias("one"))
+        equal = common.materialise(spark, equal)
+        twice = equal.where("n > 1").select("cell", "content")
+        spans.append(spread_join(halves.where("once").drop("data"), twice.withColumnRenamed("cell", "c"), "content", [*ROW, "start"]).where("c = cell").selectExpr("doc", "h", "start AS begin", f"start + windows - 1 + {LENGTH} AS end"))
+        once = F.when(F.col("n") > 1, False).otherwise(F.col("one.once")).alias("once")
+        parts = equal.select("cell", *[once if c == "once" else F.col(f"one.{c}").alias(c) for c in _PARTS.names[1:]])
+        parts = common.materialise(spark, _with_something(parts))
+    return _union(small), spans
+
+
+def _with_something(parts: DataFrame) -> DataFrame:
+    """Parts of groups that hold several of which one occurs once: all others have nothing to find."""
+    live = parts.groupBy("cell").agg(F.count("*").alias("m"), F.count_if("once").alias("lone")).where("m > 1 AND lone > 0").select("cell")
+    return parts.join(live, "cell", "left_semi")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """row, begin, end: bytes of each different row (see ``_rows``) that repeated windows cover; spans may overlap."""
+    """doc, h, begin, end: bytes of each different row (see ``_rows``) that repeated windows cover; spans may overlap."""
     spark = docs.sparkSession
     rows = _rows(docs)
-    segs = common.materialise(spark, _segment_rows(rows))
-    least = F.min(F.struct("row", "start", "windows")).alias("rep")
-    contents = common.materialise(spark, segs.groupBy("anchor", "content").agg(F.count("*").alias("n"), least))
-    whole = segs.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"])
-    whole = whole.select("row", F.col("start").alias("begin"), (F.col("start") + F.col("windows") - 1 + LENGTH).alias("end"))
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("lone")).where("m > 1 AND lone > 0")
-    wanted = contents.join(anchors, "anchor").select(
-        F.col("rep.row").alias("row"),
-        F.struct("anchor", F.col("rep.start").alias("start"), F.col("rep.windows").alias("windows"), (F.col("n") == 1).alias("once"), (F.col("m") > crowd).alias("crowded")).alias("w"),
-    )
-    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    fetched = common.map_batches(rows.select("row", "text").join(wanted, "row"), _fetch, "anchor long, row long, start long, windows int, once boolean, crowded boolean, data binary")
-    fetched = common.materialise(spark, fetched)
-    cells = fetched.where("NOT crowded").repartition("anchor").sortWithinPartitions("anchor")
-    found = common.map_batches(cells, _sort_cells, "row long, begin long, end long")
-    windows = common.map_batches(fetched.where("crowded"), _window_hashes, "h1 long, h2 long, row long, start long, once boolean")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    crowded = windows.join(twice, ["h1", "h2"]).where("once").select("row", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end"))
-    return whole.union(found).union(crowded)
+    every = common.materialise(spark, _segment_rows(rows))
+    shared = every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    segs = common.materialise(spark, every.join(shared.hint("merge"), "anchor", "left_semi"))
+    contents = segs.groupBy(*CONTENT).agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "place")).alias("rep"))
+    contents = common.materialise(spark, contents)
+    twice = contents.where("n > 1").select("anchor", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
+    whole = segs.join(twice, (segs["anchor"] == twice["anchor"]) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")))
+    spans = whole.select(*ROW, _start().alias("begin"), (_start() + _windows() - 1 + LENGTH).alias("end"))
+    anchors = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("lone")).where("m > 1 AND lone > 0").select("anchor")
+    wanted = contents.join(anchors, "anchor", "left_semi").select(F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), F.struct("anchor", F.col("rep.place").alias("place"), (F.col("n") == 1).alias("once")).alias("w"))
+    wanted = wanted.groupBy(*ROW).agg(F.collect_list("w").alias("wanted"))
+    parts = common.materialise(spark, common.map_batches(rows.select(*ROW, "text").join(wanted, ROW), _fetch, _PARTS_SQL))
+    small, found = _small_groups(parts, crowd)
+    cells = small.repartition("cell").sortWithinPartitions("cell")
+    return _union([spans, common.map_batches(cells, _sort_cells, "doc long, h long, begin long, end long"), *found])
 
 
 def merge_spans(begin: list[int], end: list[int]) -> list[tuple[int, int]]:
@@ -243,8 +328,8 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def _joined(docs: DataFrame, crowd: int, step, schema: str) -> DataFrame:
-    spans = repeated_spans(docs, crowd).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    rows = _rows(docs).join(spans.withColumnRenamed("row", "r2"), F.col("row") == F.col("r2"), "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, crowd).groupBy(*ROW).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    rows = _rows(docs).join(spans, ROW, "left").select("doc_id", "text", "spans")
     return common.map_batches(rows, step, schema)
 
 

@@ -1,8 +1,10 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeframe.llm import op6_substring_dedup as op
 from gaugeframe.llm import two_stage
@@ -50,7 +52,7 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("crowd", [op.CROWD, 2])
+@pytest.mark.parametrize("crowd", [op.CROWD, 2, 1])
 def test_equals_brute_force(spark, documents, crowd):
     t = texts(3)
     got = sorted(op.remove_repeats(documents(t), crowd).collect())
@@ -90,3 +92,34 @@ def test_cut_pieces_still_match(spark, documents, monkeypatch):
 
 def test_empty_table(documents):
     assert op.remove_repeats(documents([])).collect() == []
+
+
+def test_crowded_anchor_splits_into_small_groups(spark, documents):
+    """One passage in many texts whose neighbourhoods differ: no group that is sorted is larger than the crowd."""
+    r = random.Random(12)
+    say = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    passage, tail = say(210), say(40)
+    t = [say(150) + passage + (tail if i % 3 else say(9) + tail) + say(120) for i in range(60)]
+    docs = documents(t)
+    assert [[(s.begin, s.end) for s in x.spans or ()] for x in sorted(op.remove_repeats(docs, 4).collect())] == brute(t)
+    rows = op._rows(docs)
+    segs = op._segment_rows(rows).withColumn("once", F.lit(True)).withColumnRenamed("place", "p")
+    listed = segs.groupBy(*op.ROW).agg(F.collect_list(F.struct("anchor", F.col("p").alias("place"), "once")).alias("wanted"))
+    parts = op.common.map_batches(rows.select(*op.ROW, "text").join(listed, op.ROW), op._fetch, op._PARTS_SQL)
+    assert parts.groupBy("cell").count().agg(F.max("count")).first()[0] > 4
+    small, _ = op._small_groups(parts, 4)
+    assert small.groupBy("cell").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_query_columns_equal_brute_force(spark, documents, odd_texts, tmp_path):
+    t = texts(5) + odd_texts
+    documents(t).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op.op6_substring_dedup(spark, str(tmp_path)).collect()))
+    want = []
+    for i, (own, spans) in enumerate(zip(t, brute(t), strict=True)):
+        raw, at, kept = (own or "").encode(), 0, b""
+        for a, b in spans:
+            kept, at = kept + raw[at:a], b
+        kept += raw[at:]
+        want.append((i, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+    assert got == want
