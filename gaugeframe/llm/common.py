@@ -83,6 +83,10 @@ def fresh(df: DataFrame, name: str) -> str:
 def map_batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, since a text may be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    names = df.columns
+    if any("." in n for n in names):  # mapInArrow would take the dot for a field of a struct
+        plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+        return plain.mapInArrow(lambda batches: step(b.rename_columns(names) for b in batches), schema)
     return df.mapInArrow(step, schema)
 
 

@@ -12,7 +12,9 @@ opinion, take no part in it.  Verdicts are over all rows.
 Nulls: a null text has no words and fails the base rule.  A null doc_id is kept
 as it is and never labelled.  Empty tables give empty results; without labels
 of both kinds the list is empty and keeps everything that passes the base rule.
-Repeated rows are judged each for itself.
+Repeated rows are judged each for itself.  ``keep`` returns every column as it
+was, whatever its name; ``statistics`` and ``judge`` add columns and refuse a kept
+one of the same name.
 """
 
 from __future__ import annotations
@@ -71,12 +73,15 @@ def count_text(text: bytes) -> tuple[int, ...]:
     return (n, chars - without, count(SYMBOLS), len(lines) - len(set(lines)), repeat, chars, len(lines), count(_UPPER), count(_DIGITS), count(_MARKS), distinct)
 
 
-def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The counts of every text, beside the columns ``keep``."""
+def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), mark: str = "s_") -> DataFrame:
+    """The counts of every text, under ``mark`` and their names, beside the columns ``keep``."""
     kept = [f for f in docs.schema.fields if f.name in keep]
-    names = [f"s_{c}" for c in COUNTS]
+    names = [f"{mark}{c}" for c in COUNTS]
+    clash = {n.lower() for n in names} & {f.name.lower() for f in kept}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already; choose another mark")
     own = any(f.name == "text" and f.dataType.simpleString() == "string" for f in kept)
-    source_name = "text" if own else "__text"
+    source_name = "text" if own else common.fresh(docs, f"{mark}text")
 
     def step(batches):
         for batch in batches:
@@ -86,13 +91,13 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + names)
 
     extra = [] if own else [F.col("text").cast("string").alias(source_name)]
-    source = docs.select(*[F.col(f.name) for f in kept], *extra)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} long" for n in names])
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], *extra)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` long" for n in names])
     return common.map_batches(source, step, schema)
 
 
-def _per(a: str, b: str) -> Column:
-    return F.col(f"s_{a}") / F.greatest(F.col(f"s_{b}"), F.lit(1))
+def _per(a: str, b: str, mark: str) -> Column:
+    return F.col(f"{mark}{a}") / F.greatest(F.col(f"{mark}{b}"), F.lit(1))
 
 
 #: Features that rules may test: all shares, so that a text's length alone never rejects it.
@@ -109,8 +114,8 @@ FEATURES = {
 }
 
 
-def feature_columns() -> dict[str, Column]:
-    return {k: _per(*v) for k, v in FEATURES.items()}
+def feature_columns(mark: str = "s_") -> dict[str, Column]:
+    return {k: _per(*v, mark) for k, v in FEATURES.items()}
 
 
 @dataclass(frozen=True)
@@ -230,8 +235,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     return {k: rows[k].to_numpy(np.float64) for k in FEATURES}, rows["__q"].to_numpy() == 0
 
 
-def base_failed() -> Column:
-    return (F.col("s_n_words") < MIN_WORDS) | (100 * F.col("s_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("s_n_words"))
+def base_failed(mark: str = "s_") -> Column:
+    words, repeated = F.col(f"{mark}n_words"), F.col(f"{mark}n_repeat_words")
+    return (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DecisionList:
@@ -243,15 +249,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
 
 def judge(docs: DataFrame, rules: DecisionList, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts, number of the rule that holds, and verdict of every document."""
+    """Counts, ``base_failed``, number of the ``rule`` that holds, and verdict ``kept`` of every document."""
+    clash = {"base_failed", "rule", "kept"} & {c.lower() for c in keep}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     found = statistics(docs, keep)
     return found.withColumn("base_failed", base_failed()).withColumn("rule", rules.column()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The documents that stay, with all their columns."""
-    judged = judge(docs, rules, tuple(docs.columns))
-    return judged.where("kept").select(docs.columns)
+    mark = "s_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
+    found = statistics(docs, tuple(docs.columns), mark)
+    stays = ~base_failed(mark) & (rules.column(feature_columns(mark)) == 0)
+    return found.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,21 @@ hit and its items noted.
 Before that, a vectorised gate keeps only stretches in which every two
 neighbours are neighbours in some item too, which no match can do without.
 
-The items go to the executors in blocks of at most ``block_bytes`` of text, so
-what is broadcast is bounded; with more blocks the documents pass several
-automata, without a shuffle.  Items without an id cannot be named and are
-ignored, as are items without words.  A null text has no words.  Repeated
-rows are judged each for itself; rows with the same item_id are one item.
+The items go to the executors in blocks of about ``block_bytes`` of text, one
+automaton in flat arrays each (some 20 bytes of memory a byte of text), so what
+one step broadcasts is bounded; with more blocks the documents pass several
+automata, without a shuffle.  The driver holds the items of two blocks and one
+automaton at a time.  Items without an id cannot be named and are ignored, as
+are items without words.  A null text has no words.  Repeated rows are judged
+each for itself; rows with the same item_id are one item.  Columns of documents
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -32,57 +37,22 @@ from . import common
 
 WINDOW = 8
 #: Bytes of item text in one automaton.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(common.WORD_BYTES).split()
 
 
-class ItemAutomaton:
-    """Generalised suffix automaton of items; states know the windows that end in them."""
+class _Builder:
+    """A suffix automaton while it grows: one dict of transitions a state."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.vocab: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        short: dict[int, tuple[int, set[str]]] = {}
-        full: dict[int, set[str]] = {}
-        pairs: set[int] = set()
-        self.shortest = window
-        pending = []
-        for name, item in items:
-            if not item:
-                continue
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in item]
-            last = 0
-            for t in ids:
-                last = self._extend(last, t)
-            pending.append((name, ids))
-            pairs.update((a << 32) | b for a, b in zip(ids, ids[1:], strict=False))
-            self.shortest = min(self.shortest, len(ids))
-        # the state of each window, now that no state is cloned any more
-        for name, ids in pending:
-            if len(ids) < window:
-                state = 0
-                for t in ids:
-                    state = self.next[state][t]
-                short.setdefault(state, (len(ids), set()))[1].add(name)
-                continue
-            for state, length in self._walk(ids):
-                if length >= window:
-                    full.setdefault(self._cut(state), set()).add(name)
-        self.full = full
-        #: For every state: the short items that end wherever it is reached, longest first.
-        self.short: list[tuple] = [()] * len(self.link)
-        if short:
-            for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-                above = self.short[self.link[s]]
-                self.short[s] = ((*short[s], s), *above) if s in short else above
-        self.pairs = np.array(sorted(pairs), np.int64)
+        self.link, self.length = array("i", [-1]), array("i", [0])
 
-    def _extend(self, last: int, t: int) -> int:
+    def extend(self, last: int, t: int) -> int:
+        """The state of a word after the state ``last`` of an item."""
         if t in self.next[last]:
             q = self.next[last][t]
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, t, q)
@@ -110,15 +80,78 @@ class ItemAutomaton:
             p = self.link[p]
         return new
 
+
+class ItemAutomaton:
+    """Generalised suffix automaton of items; states know the windows that end in them.
+
+    A state's transitions are a stretch of two flat arrays, sorted by word.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
+        self.window = window
+        self.vocab: dict[bytes, int] = {}
+        self.shortest = window
+        grown, known, pairs = _Builder(), [], []
+        for name, item in items:
+            if not item:
+                continue
+            ids = array("i", [self.vocab.setdefault(w, len(self.vocab)) for w in item])
+            last = 0
+            for t in ids:
+                last = grown.extend(last, t)
+            known.append((name, ids))
+            flat = np.array(ids, np.int64)
+            pairs.append((flat[:-1] << 32) | flat[1:])
+            self.shortest = min(self.shortest, len(ids))
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        self.link, self.length = grown.link, grown.length
+        self.first, self.word, self.to = array("i", [0]), array("i"), array("i")
+        for s, moves in enumerate(grown.next):
+            for t in sorted(moves):
+                self.word.append(t)
+                self.to.append(moves[t])
+            self.first.append(len(self.word))
+            grown.next[s] = None
+        self._note(known)
+
+    def _note(self, known: list[tuple[str, array]]) -> None:
+        """The state of each window, now that no state is cloned any more."""
+        self.full: dict[int, set[str]] = {}
+        short: dict[int, tuple[int, set[str]]] = {}
+        for name, ids in known:
+            if len(ids) < self.window:
+                *_, (state, _) = self._walk(ids)
+                short.setdefault(state, (len(ids), set()))[1].add(name)
+                continue
+            for state, length in self._walk(ids):
+                if length >= self.window:
+                    self.full.setdefault(self._cut(state), set()).add(name)
+        #: For states with any: the short items that end wherever it is reached, longest first.
+        self.short: dict[int, tuple] = {}
+        if short:
+            for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+                above = self.short.get(self.link[s], ())
+                here = ((*short[s], s), *above) if s in short else above
+                if here:
+                    self.short[s] = here
+
+    def _step(self, state: int, t: int) -> int:
+        """Where a word leads, or -1."""
+        low, high = self.first[state], self.first[state + 1]
+        at = bisect_left(self.word, t, low, high)
+        return self.to[at] if at < high and self.word[at] == t else -1
+
     def _walk(self, ids: Iterable[int]) -> Iterator[tuple[int, int]]:
         """State and longest matching length after each word."""
         state = length = 0
         for t in ids:
-            while state and t not in self.next[state]:
+            to = self._step(state, t)
+            while state and to < 0:
                 state = self.link[state]
                 length = self.length[state]
-            if t in self.next[state]:
-                state, length = self.next[state][t], length + 1
+                to = self._step(state, t)
+            if to >= 0:
+                state, length = to, length + 1
             yield state, length
 
     def _cut(self, state: int) -> int:
@@ -163,7 +196,7 @@ class ItemAutomaton:
                         seen.add(state)
                         found |= self.full.get(state, set())
                 # a short item is hit if the match is as long as the item
-                for n, names, _ in self.short[state]:
+                for n, names, _ in self.short.get(state, ()):
                     if n <= length:
                         spans.append((i - n, i))
                         found |= names
@@ -190,44 +223,49 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield held
 
 
-#: Columns that the search adds; no table's own names.
-_COUNT = "__n_words long, __spans array<struct<begin:int,end:int>>, __items array<string>"
 _SPAN = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish=None, schema: str = "") -> DataFrame:
-    """``docs`` with __n_words, __spans (hit words) and __items (those found).
+def find_hits(docs: DataFrame, benchmark: DataFrame, finish, schema: str, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What ``finish`` makes of every batch of ``docs`` and its hits, as rows of ``schema``.
 
-    Every column of ``docs`` stays; it needs ``text``.  ``finish`` turns each batch
-    of the last block into one of ``schema`` in the same worker.
+    ``finish(batch, n_words, spans, items)`` gets the columns of ``docs``, which needs
+    ``text``, and for every row its number of words, the spans of hit words of
+    each block, and the items found.  It runs in the worker of the last block.
     """
     spark = docs.sparkSession
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.withColumns({"__n_words": F.lit(None).cast("long"), "__spans": F.lit(None).cast("array<struct<begin:int,end:int>>"), "__items": F.lit(None).cast("array<string>")})
-    held = [*blocks(benchmark, block_bytes)] or [[]]
-    for k, block in enumerate(held, 1):
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    had, found = common.fresh(docs, "spans_before"), common.fresh(docs, "items_before")
+    between = ", ".join([*fields, f"`{had}` array<struct<begin:int,end:int>>", f"`{found}` array<string>"])
+    names, out, later = docs.columns, docs, blocks(benchmark, block_bytes)
+    block, number = next(later, []), 0
+    while block is not None:
+        after = next(later, None)
         shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
-        end = finish if k == len(held) else None
 
-        def step(batches, shared=shared, end=end):
+        def step(batches, shared=shared, first=number == 0, end=finish if after is None else None):
             machine = shared.value
             get, none = machine.vocab.get, repeat(-1)
             for batch in batches:
                 for rows in common.slices(batch, "text"):
-                    counts, spans, items = [], [], []
-                    old = zip(rows.column("__spans").to_pylist(), rows.column("__items").to_pylist(), strict=True)
-                    for text, (was, had) in zip(common.utf8(rows.column("text")), old, strict=True):
+                    counts, n = [], rows.num_rows
+                    spans = [[] for _ in range(n)] if first else rows.column(had).to_pylist()
+                    items = [set() for _ in range(n)] if first else [set(x) for x in rows.column(found).to_pylist()]
+                    for k, text in enumerate(common.utf8(rows.column("text"))):
                         cut = words(text)
-                        ids = np.fromiter(map(get, cut, none), np.int64, len(cut))
-                        hit, found = machine.hits(ids)
                         counts.append(len(cut))
-                        spans.append((was or []) + [{"begin": a, "end": b} for a, b in hit])
-                        items.append(sorted(found | set(had or ())))
-                    new = {"__n_words": pa.array(counts, pa.int64()), "__spans": pa.array(spans, _SPAN), "__items": pa.array(items, pa.list_(pa.string()))}
-                    done = pa.RecordBatch.from_arrays([new.get(n, rows.column(n)) for n in rows.schema.names], names=rows.schema.names)
-                    yield end(done) if end else done
-
-        out = common.map_batches(out, step, schema if end else f"{fields}, {_COUNT}")
+                        hit, names_ = machine.hits(np.fromiter(map(get, cut, none), np.int64, len(cut)))
+                        spans[k] += [{"begin": a, "end": b} for a, b in hit]
+                        items[k] |= names_
+                    own = rows.select(names)
+                    if end:
+                        yield end(own, counts, spans, items)
+                    else:
+                        more = [pa.array(spans, _SPAN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*names, had, found])
+
+        out = common.map_batches(out, step, schema if after is None else between)
+        block, number = after, number + 1
     return out
 
 
@@ -246,15 +284,14 @@ def report(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
+    def digest(batch: pa.RecordBatch, counts, spans, items) -> pa.RecordBatch:
         hit = [sum(b - a for a, b in _union(s)) for s in spans]
-        sha = [hashlib.sha256(",".join(sorted(x or ())).encode()).hexdigest() for x in items]
-        n = [len(x or ()) for x in items]
-        columns = [pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array([x >= min_items for x in n], pa.bool_())]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__n_words"), *columns], schema=schema)
+        sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+        n = [len(x) for x in items]
+        columns = [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array([x >= min_items for x in n], pa.bool_())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=schema)
 
-    return find_hits(rows, benchmark, window, block_bytes, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return find_hits(rows, benchmark, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", window, block_bytes)
 
 
 def _word_ends(text: str) -> list[tuple[int, int]]:
@@ -264,7 +301,7 @@ def _word_ends(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.5, min_items: int = 2, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.5, min_items: int = 2, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without their hit spans; contaminated ones are dropped.
 
     A document goes if windows of ``min_items`` items or more occur in it, or
@@ -275,13 +312,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.5, min
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, counts, found_spans, found_items) -> pa.RecordBatch:
         keep, texts = [], []
-        cols = (batch.column(c).to_pylist() for c in ("text", "__n_words", "__spans", "__items"))
-        for text, n, spans, items in zip(*cols, strict=True):
+        for text, n, spans, items in zip(batch.column("text").to_pylist(), counts, found_spans, found_items, strict=True):
             merged = _union(spans)
             hit = sum(b - a for a, b in merged)
-            keep.append(len(items or ()) < min_items and hit <= max_hit_share * (n or 0))
+            keep.append(len(items) < min_items and hit <= max_hit_share * n)
             if merged and keep[-1]:
                 ends = _word_ends(text)
                 for a, b in reversed(merged):
@@ -293,7 +329,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.5, min
         out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
         return out.filter(pa.array(keep, pa.bool_()))
 
-    return find_hits(docs, benchmark, window, finish=cut, schema=fields)
+    return find_hits(docs, benchmark, cut, fields, window, block_bytes)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import op1_quality_rules as op
@@ -34,13 +35,40 @@ def test_counts_equal_brute_force(odd_texts):
 def test_query_on_odd_documents(spark, documents, odd_texts):
     ids = [None, *range(len(odd_texts) - 1)]
     rules = op.DecisionList([[op.Test("symbols_per_word", True, 0.5)], [op.Test("repeat_share", True, 0.9), op.Test("mean_word", False, 9.0)]])
-    got = op.judge(documents(odd_texts, ids), rules).collect()
+    docs = documents(odd_texts, ids)
+    got = op.judge(docs, rules).collect()
     assert len(got) == len(odd_texts)
     for r in got:
         assert r.kept == (not r.base_failed and r.rule == 0)
         assert r.base_failed == (r.s_n_words < 50 or 100 * r.s_n_repeat_words > 50 * r.s_n_words)
-    kept = op.keep(documents(odd_texts, ids), rules)
-    assert kept.columns == documents(odd_texts, ids).columns
+
+
+def test_keep_leaves_every_column_as_it_was(spark, documents, odd_texts):
+    rules = op.DecisionList([[op.Test("mean_word", False, 1.0)]])
+    docs = documents(odd_texts).withColumns({c: F.lit(f"own {c}") for c in ("rule", "kept", "base_failed", "s_n_words", "s_text", "n.words")})
+    verdict = {r.doc_id: r.kept for r in op.judge(docs, rules).collect()}
+    kept = op.keep(docs, rules)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect()) == sorted(r for r in docs.collect() if verdict[r.doc_id])
+    assert 0 < kept.count() < len(odd_texts)
+    with pytest.raises(ValueError, match="already"):
+        op.judge(docs, rules, ("doc_id", "rule"))
+    with pytest.raises(ValueError, match="already"):
+        op.statistics(docs, ("doc_id", "s_n_words"))
+
+
+def test_query_equals_brute_force(spark, documents, odd_texts, tmp_path):
+    t = odd_texts + ["many words " * 40 + " ".join(f"w{i}" for i in range(90))] * 2
+    documents(t).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 2), 0) for i in range(len(t))] + [(None, 1, 0), (99, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(op.op1_quality_rules(spark, str(tmp_path)).collect())
+    assert [r.doc_id for r in got] == list(range(len(t)))
+    for r, own in zip(got, t, strict=True):
+        want = brute(own)
+        assert tuple(r)[1:6] == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert r.kept == (not r.base_failed and r.rule == 0)
 
 
 def test_learning_finds_planted_rules():

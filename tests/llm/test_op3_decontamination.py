@@ -1,8 +1,10 @@
 import hashlib
+import pickle
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeframe.llm import op3_decontamination as op
 
@@ -70,3 +72,31 @@ def test_clean_removes_spans_and_drops(spark, documents):
     assert got[0].text == f"{filler}, ! {filler}" and got[0].n_chars == len(got[0].text)
     assert got[4].text == filler and got[0].spans == "x"
     assert op.clean(docs, bench).columns == docs.columns
+
+
+def test_clean_in_blocks_with_clashing_names(spark, documents):
+    r = random.Random(4)
+    say = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    items = [(i, say(12), "x") for i in range(10)]
+    bench = spark.createDataFrame(items, ITEMS)
+    texts = [f"{say(40)} {t} {say(40)}" for _, t, _ in items[:5]] + [say(60), None, f"{items[1][1]} {items[2][1]}"]
+    docs = documents(texts).withColumns({c: F.lit(f"own {c}") for c in ("spans_before", "items_before", "__n_words", "__spans", "__items", "n.hit")})
+    whole, cut_up = (sorted(op.clean(docs, bench, block_bytes=b).collect()) for b in (1 << 20, 30))
+    assert whole == cut_up and op.clean(docs, bench).columns == docs.columns
+    want = [i for i, (n, hit, n_items, _, _) in enumerate(brute(texts, [x[:2] for x in items])) if n_items < 2 and hit <= 0.5 * n]
+    assert [x.doc_id for x in whole] == want and all(x.spans_before == "own spans_before" for x in whole)
+
+
+def test_automaton_is_flat_and_blocks_are_streamed(spark):
+    r = random.Random(6)
+    items = [(i, " ".join(f"w{int(r.paretovariate(0.6)) % 5000}" for _ in range(300))) for i in range(200)]
+    size = sum(len(t) for _, t in items)
+    built = op.ItemAutomaton([(str(i), op.words(t.encode())) for i, t in items])
+    flat = sum(x.itemsize * len(x) for x in (built.first, built.word, built.to, built.link, built.length)) + built.pairs.nbytes
+    assert flat < 12 * size and len(pickle.dumps(built)) < 40 * size
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)
+    got = op.blocks(bench, size // 5)
+    first = next(got)  # a generator: the rest is still in the table
+    rest = [*got]
+    assert len(rest) >= 4 and max(sum(len(w) for _, item in b for w in item) for b in [first, *rest]) < size // 2
+    assert sorted(int(n) for b in [first, *rest] for n, _ in b) == list(range(200))
