@@ -16,23 +16,42 @@ from pyspark.sql import functions as F
 _BLOCK = 128
 
 
-def _prefix(values: Column) -> Column:
-    """Inclusive running sums of a short array of longs."""
-    zero = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("a"))
-    step = lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.concat(acc["a"], F.array(acc["s"] + v)).alias("a"))
-    return F.aggregate(values, zero, step, lambda acc: acc["a"])
+def _prefix(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """What ``combine`` makes of each beginning of a short array of longs."""
+    begin = F.struct(zero.alias("s"), F.array().cast("array<bigint>").alias("a"))
 
+    def step(acc: Column, v: Column) -> Column:
+        now = combine(acc["s"], v)
+        return F.struct(now.alias("s"), F.concat(acc["a"], F.array(now)).alias("a"))
 
-def running_sums(values: Column) -> Column:
-    """Inclusive running sums of an array of longs, in blocks."""
+    return F.aggregate(values, begin, step, lambda acc: acc["a"])
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """What an associative ``combine`` makes of each beginning of an array of longs, in blocks."""
     n = F.size(values)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
-    inner = F.transform(blocks, _prefix)
-    totals = _prefix(F.transform(inner, lambda x: F.element_at(x, -1)))
-    shifted = F.zip_with(inner, F.concat(F.array(F.lit(0).cast("long")), totals), lambda x, o: F.transform(F.coalesce(x, F.array().cast("array<bigint>")), lambda v: v + o))
+    inner = F.transform(blocks, lambda x: _prefix(x, combine, zero))
+    totals = _prefix(F.transform(inner, lambda x: F.element_at(x, -1)), combine, zero)
+    shifted = F.zip_with(inner, F.concat(F.array(zero), totals), lambda x, o: F.transform(F.coalesce(x, F.array().cast("array<bigint>")), lambda v: combine(o, v)))
     return F.when(n > 0, F.flatten(shifted)).otherwise(F.array().cast("array<bigint>"))
 
 
+def running_sums(values: Column) -> Column:
+    """Inclusive running sums of an array of longs."""
+    return running(values, lambda a, b: a + b, F.lit(0).cast("long"))
+
+
+def running_max(values: Column, least: int = -1) -> Column:
+    """Inclusive running maxima of an array of longs, ``least`` at least."""
+    return running(values, F.greatest, F.lit(least).cast("long"))
+
+
+def running_min(values: Column, most: int = (1 << 62)) -> Column:
+    """Inclusive running minima of an array of longs, ``most`` at most."""
+    return running(values, F.least, F.lit(most).cast("long"))
+
+
 def char_count(c: Column) -> Column:
     return F.char_length(c).cast("long")
 

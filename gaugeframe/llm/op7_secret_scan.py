@@ -9,8 +9,10 @@ touches, and buckets of one text are joined by equality.
 
 DataFrame functions only.  A null text is empty; rows may repeat (parts are
 those of a (doc_id, text), so repeated rows get the same spans); doc_id may be
-null.  Very long texts: positions come from running sums, in near linear
-work.  Only doc_id and text are read.
+null.  Very long texts: positions come from running sums, containment and
+masking from running maxima, in near linear work; cutting out what lies between
+the spans looks for each place in the text anew.  Only doc_id and text are read;
+``scan`` adds two columns under names that the table must not have, ``redact`` none.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .native_spans import find_gated
+from .native_spans import find_gated, running_max
 
 SCOPE = 200
 #: Base patterns, fixed values.  Keywords in either case.
@@ -115,10 +117,12 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     return weak.join(other, same & near & fits, "left_semi").select("__id", "__h", "start", "end", "kind").distinct()
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text (null: empty), and the key that equal rows share."""
-    rows = docs.withColumns({"__text": F.coalesce(F.col("text").cast("string"), F.lit("")), "__id": F.col("doc_id").cast("long")})
-    return rows.withColumn("__h", F.xxhash64("__text"))
+def _id() -> Column:
+    return F.col("doc_id").cast("long")
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
 def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -127,7 +131,7 @@ def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     The texts are read once; what is found in them, a small part, is written to
     the shared folder and linked from there.
     """
-    rows = _keyed(docs).withColumn("__low", F.lower("__text"))
+    rows = docs.select(_id().alias("__id"), _text().alias("__text")).withColumns({"__h": F.xxhash64("__text"), "__low": F.lower("__text")})
     rows = rows.withColumns(gates(F.col("__low"), F.col("__text"))).where("__g_assign OR __g_access OR __g_hex OR __g_key OR __g_id")
     kinds = base_spans(F.col("__text"))
     found = rows.select("__id", "__h", _sorted(F.concat(*kinds.values())).alias("__base"), weak_parts(F.col("__text")).alias("__weak"))
@@ -137,38 +141,45 @@ def find_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     more = _linked(parts.select("__id", "__h", "p.start", "p.end", "p.kind"), scope)
     more = more.groupBy(F.col("__id").alias("i2"), F.col("__h").alias("h2")).agg(F.collect_list(F.struct("start", "end", "kind")).alias("__more"))
     joined = found.join(more, F.col("__id").eqNullSafe(F.col("i2")) & (F.col("__h") == F.col("h2")), "left")
-    new = F.filter(F.coalesce(F.col("__more"), F.array().cast(_SPANS)), lambda w: ~F.exists("__base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
-    return joined.select("__id", "__h", "__base", _sorted(F.concat("__base", new)).alias("__spans")).where(F.size("__spans") > 0)
-
-
-def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans`` (arrays of start, end, kind); all columns stay."""
-    found = find_spans(docs, scope).withColumnsRenamed({"__id": "i3", "__h": "h3"})
-    same = F.col("__id").eqNullSafe(F.col("i3")) & (F.col("__h") == F.col("h3"))
-    joined = _keyed(docs).drop("__text").join(found, same, "left").drop("i3", "h3", "__id", "__h")
+    every = _sorted(F.concat("__base", F.coalesce(F.col("__more"), F.array().cast(_SPANS))))
+    joined = joined.select("__id", "__h", "__base", every.alias("__all"))
+    # base spans stand before weak ones of the same start, so one that holds a weak span stands before it
+    strong = lambda s: s["kind"].isin(*BASE_KINDS)
+    to = running_max(F.transform("__all", lambda s: F.when(strong(s), s["end"]).otherwise(F.lit(-1).cast("long"))))
+    # zipped and not looked up by index: a lookup in a lambda would work out the whole array for every element
+    kept = F.filter(F.zip_with("__all", to, lambda s, m: F.struct(s.alias("s"), m.alias("m"))), lambda x: strong(x["s"]) | (x["m"] < x["s"]["end"]))
+    kept = F.transform(kept, lambda x: x["s"])
+    return joined.select("__id", "__h", "__base", kept.alias("__spans")).where(F.size("__spans") > 0)
+
+
+def scan(docs: DataFrame, scope: int = SCOPE, base: str = "__base", spans: str = "__spans") -> DataFrame:
+    """``docs`` with ``base`` and ``spans`` (arrays of start, end, kind); all columns stay."""
+    clash = {base.lower(), spans.lower()} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already; choose other names")
+    own = {n: common.fresh(docs, n) for n in ("__i", "__h")}
+    found = find_spans(docs, scope).toDF("__id", "__hash", "__of_base", "__of_all")
+    left = docs.withColumns({own["__i"]: _id(), own["__h"]: F.xxhash64(_text())}).alias("l")
+    same = F.col(f"l.{own['__i']}").eqNullSafe(F.col("r.__id")) & (F.col(f"l.{own['__h']}") == F.col("r.__hash"))
     none = F.array().cast(_SPANS)
-    return joined.withColumns({"__base": F.coalesce("__base", none), "__spans": F.coalesce("__spans", none)})
+    columns = [F.col(f"l.`{c}`") for c in docs.columns]
+    return left.join(found.alias("r"), same, "left").select(*columns, F.coalesce("r.__of_base", none).alias(base), F.coalesce("r.__of_all", none).alias(spans))
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; n_chars follows where it exists."""
-    found = scan(docs, scope)
-    # union of overlapping spans, then the text between them
-    merge = F.aggregate(
-        "__spans",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__m", lambda s: s["end"]))
-    ends = F.concat(F.transform("__m", lambda s: s["start"]), F.array(F.char_length("text").cast("long")))
-    kept = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    out = found.withColumn("__m", merge).withColumn("text", F.when(F.size("__m") > 0, F.array_join(kept, mask)).otherwise(F.col("text")))
+    """``docs`` with every run of overlapping spans replaced by ``mask``; n_chars follows where it exists."""
+    base, spans, reach, new = (common.fresh(docs, n) for n in ("__base", "__spans", "__reach", "__new"))
+    found = scan(docs, scope, base, spans).withColumn(reach, running_max(F.transform(spans, lambda s: s["end"]), 0))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(reach, F.lit(1), F.greatest(F.size(reach) - 1, F.lit(0))))
+    piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
+    # what lies before each span that begins a run, and its mask; then the rest
+    parts = F.zip_with(spans, before, lambda s, m: F.when(s["start"] >= m, F.concat(piece(m, s["start"]), F.lit(mask))).otherwise(F.lit("")))
+    rest = piece(F.element_at(reach, -1), F.char_length("text").cast("long"))
+    out = found.withColumn(new, F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)))
+    changed = {"text": F.coalesce(F.col(new), F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__m") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.col(new).isNotNull(), F.char_length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from gaugeframe.llm import op7_secret_scan as op
 
 H = "0123456789abcdef0123456789abcdef"
@@ -65,3 +67,40 @@ def test_repeated_rows_and_empty_table(documents):
     twice = documents([f"user: al {K}"] * 3 + [H], [1, 1, None, 1])
     assert sorted(len(r["__spans"]) for r in op.scan(twice).collect()) == [1, 2, 2, 2]
     assert op.scan(documents([])).collect() == []
+
+
+def masked(text):
+    """The text with every run of overlapping spans replaced."""
+    spans = [(a, b) for a, _, b in sorted(base(text) + weak(text))]
+    out, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            out += text[at:a] + "[secret]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_redaction_equals_brute_force_whatever_the_names(documents):
+    clash = ("__base", "__spans", "__h", "__i", "__id", "__text", "__reach", "__new", "__low", "i2", "h2", "a.b")
+    docs = documents(TEXTS).withColumns({c: op.F.lit(f"own {c}") for c in clash})
+    got = sorted(op.redact(docs).collect())
+    assert op.redact(docs).columns == docs.columns
+    for r, t in zip(got, TEXTS, strict=True):
+        assert r.text == (None if t is None else masked(t)) and all(r[c] == f"own {c}" for c in clash)
+        assert r.n_chars == (None if t is None else len(r.text))
+    with pytest.raises(ValueError, match="already"):
+        op.scan(docs)
+
+
+def test_many_spans_in_one_text(documents):
+    """Weak spans inside and beside thousands of base spans."""
+    t = " ".join(f"token=abcdefgh{i} user: al{i} {K}{i} {H}" for i in range(400))
+    r = op.scan(documents([t])).select(op.as_text(op.F.col("__spans")).alias("s")).first()
+    assert r.s == text_of(base(t) + weak_fast(t))
+    assert op.redact(documents([t])).first().text == "[secret] [secret] [secret] [secret]" + " [secret]" * (4 * 399)
+
+
+def weak_fast(t):
+    """Every identifier and key of this text has a mate; none is inside a base span."""
+    out = [(m.start(), 3, m.end()) for m in re.finditer(op.IDENTIFIER, t)]
+    return out + [(m.start(), 4, m.end()) for m in re.finditer(op.KEY, t) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
