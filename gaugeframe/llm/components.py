@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Partitions over which the rows of one hot key are dealt.
-SALTS = 16
+#: A key with more than one in so many rows is hot; so there are fewer hot keys than this.
+HOT_SHARE = 10_000
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: str, by: list[str], salts: int = SALTS) -> DataFrame:
-    """Inner join of ``big`` with one row of ``small`` a key; rows of a hot key are dealt by ``by`` over ``salts`` tasks."""
-    dealt = big.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
-    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return dealt.join(copies, [on, "salt"]).drop("salt")
+def spread_join(big: DataFrame, small: DataFrame, on: str | list[str], by: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Join of ``big`` with ``small``, one row a key, in which hot keys are dealt over many tasks.
+
+    ``weight`` is the column of ``small`` with the rows that ``big`` has of a key (it
+    goes), ``total`` all rows of ``big``.  A key with more than ``total / HOT_SHARE``
+    rows is dealt by ``by`` over tasks in proportion to its rows.  There are
+    fewer than ``HOT_SHARE`` such keys, so their list is sent to all machines.
+    """
+    on = [on] if isinstance(on, str) else on
+    salts = F.ceil(F.col(weight) * HOT_SHARE / max(1, total)).cast("int")
+    hot = F.broadcast(small.where(F.col(weight) * HOT_SHARE > max(1, total)).select(*on, salts.alias("salts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), "salts"), F.lit(0)).cast("int")
+    dealt = big.join(hot, on, "left").withColumn("salt", salt).drop("salts")
+    last = F.coalesce(F.col("salts"), F.lit(1)) - 1
+    copies = small.drop(weight).join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+    return dealt.join(copies, [*on, "salt"], how).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,16 +41,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     now = common.materialise(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    n, before = now.count(), None
+    pair = ["u", "v"]
     while True:
         both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = spread_join(both, least, "u", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, least, "u", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least)
-        now = common.materialise(spark, small.distinct())
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")).select("u", F.least("u", "m").alias("m"), "w")
+        large = spread_join(both, least, "u", ["v"], "w", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = common.materialise(spark, large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+        small = spread_join(large, least, "u", ["v"], "w", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = common.materialise(spark, small.union(least.select("u", "m")).distinct())
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*pair).cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
-        before = state
+        n, before = state.n, state
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -264,13 +264,14 @@ def _small_groups(parts: DataFrame, crowd: int) -> tuple[DataFrame, list[DataFra
         crowded = sizes.where(f"m > {crowd}")
         if crowded.isEmpty():
             break
-        halves = common.materialise(spark, common.map_batches(spread_join(parts, crowded.select("cell"), "cell", [*ROW, "start"]), _halves, _PARTS_SQL))
+        total = parts.count()
+        halves = common.materialise(spark, common.map_batches(spread_join(parts, crowded, "cell", [*ROW, "start"], "m", total), _halves, _PARTS_SQL))
         halves = halves.withColumn("content", F.sha2("data", 256))
         # equal halves are repeats of each other; one stands for them
         equal = halves.groupBy("cell", "content").agg(F.count("*").alias("n"), F.min(F.struct(*_PARTS.names[1:-1], "data")).alias("one"))
         equal = common.materialise(spark, equal)
-        twice = equal.where("n > 1").select("cell", "content")
-        spans.append(spread_join(halves.where("once").drop("data"), twice.withColumnRenamed("cell", "c"), "content", [*ROW, "start"]).where("c = cell").selectExpr("doc", "h", "start AS begin", f"start + windows - 1 + {LENGTH} AS end"))
+        twice = equal.where("n > 1").select("cell", "content", "n")
+        spans.append(spread_join(halves.where("once").drop("data"), twice, ["cell", "content"], [*ROW, "start"], "n", 2 * total).selectExpr("doc", "h", "start AS begin", f"start + windows - 1 + {LENGTH} AS end"))
         once = F.when(F.col("n") > 1, False).otherwise(F.col("one.once")).alias("once")
         parts = equal.select("cell", *[once if c == "once" else F.col(f"one.{c}").alias(c) for c in _PARTS.names[1:]])
         parts = common.materialise(spark, _with_something(parts))
@@ -295,15 +296,15 @@ def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     spark = docs.sparkSession
     rows = _rows(docs)
     every = common.materialise(spark, _segment_rows(rows))
-    shared = every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    segs = common.materialise(spark, every.join(shared.hint("merge"), "anchor", "left_semi"))
+    total = every.count()
+    shared = common.materialise(spark, every.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
+    segs = common.materialise(spark, spread_join(every, shared, "anchor", ["c1", *ROW, "place"], "m", total, "left_semi"))
     contents = segs.groupBy(*CONTENT).agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "place")).alias("rep"))
     contents = common.materialise(spark, contents)
-    twice = contents.where("n > 1").select("anchor", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
-    whole = segs.join(twice, (segs["anchor"] == twice["anchor"]) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")))
+    whole = spread_join(segs, contents.where("n > 1").select(*CONTENT, "n"), CONTENT, [*ROW, "place"], "n", total, "left_semi")
     spans = whole.select(*ROW, _start().alias("begin"), (_start() + _windows() - 1 + LENGTH).alias("end"))
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("lone")).where("m > 1 AND lone > 0").select("anchor")
-    wanted = contents.join(anchors, "anchor", "left_semi").select(F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), F.struct("anchor", F.col("rep.place").alias("place"), (F.col("n") == 1).alias("once")).alias("w"))
+    anchors = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("lone")).where("m > 1 AND lone > 0").select("anchor", "m")
+    wanted = spread_join(contents, anchors, "anchor", ["c1", "c2"], "m", total, "left_semi").select(F.col("rep.doc").alias("doc"), F.col("rep.h").alias("h"), F.struct("anchor", F.col("rep.place").alias("place"), (F.col("n") == 1).alias("once")).alias("w"))
     wanted = wanted.groupBy(*ROW).agg(F.collect_list("w").alias("wanted"))
     parts = common.materialise(spark, common.map_batches(rows.select(*ROW, "text").join(wanted, ROW), _fetch, _PARTS_SQL))
     small, found = _small_groups(parts, crowd)

@@ -174,8 +174,8 @@ def forest(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     sizes = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
     shared = rows.join(sizes, "node").groupBy(*KEY).agg(F.collect_list(F.struct("node", "m")).alias("at"))  # at most TREES
     asked = common.materialise(sets.sparkSession, _asked(shared.join(sets, KEY), length, threshold, recall))
-    depth = asked.groupBy("shallow").agg(F.min("wish").alias("depth"))
-    placed = spread_join(asked, depth, "shallow", KEY).select(F.get("deep", F.col("depth") - length).alias("node"), *KEY, "n_shingles")
+    depth = asked.groupBy("shallow").agg(F.min("wish").alias("depth"), F.count("*").alias("w"))
+    placed = spread_join(asked, depth, "shallow", KEY, "w", asked.count()).select(F.get("deep", F.col("depth") - length).alias("node"), *KEY, "n_shingles")
     return common.materialise(sets.sparkSession, placed)
 
 
@@ -406,15 +406,16 @@ def _cores(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     spark = rows.sparkSession
     hubs = common.materialise(spark, rows.where("blocks > 1").groupBy(*KEY).agg(F.max(F.struct("m", "node")).getField("node").alias("hub"), F.max("n_shingles").alias("n_shingles")))
     centres = hubs.groupBy("hub").agg(F.min(F.struct(*KEY)).alias("c"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).withColumn("parts", _blocks("n", "s"))
-    members = spread_join(hubs.select(*KEY, "hub"), centres, "hub", KEY).select("hub", F.pmod(_own(*KEY), "parts").alias("part"), *KEY, F.lit(1).alias("o"))
+    members = spread_join(hubs.select(*KEY, "hub"), centres.select("hub", "parts", "n"), "hub", KEY, "n", hubs.count()).select("hub", F.pmod(_own(*KEY), "parts").alias("part"), *KEY, F.lit(1).alias("o"))
     heads = centres.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))).alias("part"), F.col("c.k1").alias("k1"), F.col("c.k2").alias("k2"), F.lit(0).alias("o"))
     dealt = members.union(heads).join(_texts(table, hubs), KEY).select("hub", F.xxhash64("hub", "part").alias("cell"), "o", *KEY, "text")
     found = common.materialise(spark, common.map_batches(_in_cells(dealt, "o"), _core_sets(threshold), "k1 long, k2 long, hub long"))
     sizes = found.groupBy("hub").agg(F.count("*").alias("size")).where("size > 1").join(centres.select("hub", "c"), "hub")
-    return spread_join(found, sizes, "hub", KEY).select(*KEY, "hub", F.col("c.k1").alias("c1"), F.col("c.k2").alias("c2"), "size")
+    sizes = sizes.withColumn("w", F.col("size"))
+    return spread_join(found, sizes, "hub", KEY, "w", found.count()).select(*KEY, "hub", F.col("c.k1").alias("c1"), F.col("c.k2").alias("c2"), "size")
 
 
-def _dealt(rows: DataFrame, cores: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, cores: DataFrame, total: int) -> DataFrame:
     """k1, k2, hub and the list ``at`` of (node, block, bn, bd) of every set in a shared node.
 
     Blocks of a node: first bn blocks of sets to compare with all, then bd blocks
@@ -428,10 +429,10 @@ def _dealt(rows: DataFrame, cores: DataFrame) -> DataFrame:
     plan = per.groupBy("node").agg(best.alias("d"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     plan = plan.select("node", F.col("d.hub").alias("own_hub"), zero("d.n").alias("dn"), zero("d.s").alias("ds"), (F.col("all_n") - zero("d.n")).alias("nn"), (F.col("all_s") - zero("d.s")).alias("ns"))
-    plan = plan.select("node", "own_hub", _blocks("nn", "ns").alias("bn"), _blocks("dn", "ds").alias("bd"))
+    plan = plan.select("node", "own_hub", _blocks("nn", "ns").alias("bn"), _blocks("dn", "ds").alias("bd"), (F.col("nn") + F.col("dn")).alias("w"))
     core = F.coalesce(F.col("hub") == F.col("own_hub"), F.lit(False))
     block = F.when(core, F.col("bn") + F.pmod(_own(*KEY), "bd")).otherwise(F.pmod(_own(*KEY), "bn")).cast("int")
-    many = spread_join(many, plan, "node", KEY).where("bn > 0").select("node", *KEY, "hub", block.alias("block"), "bn", "bd")
+    many = spread_join(many, plan, "node", KEY, "w", total).where("bn > 0").select("node", *KEY, "hub", block.alias("block"), "bn", "bd")
     return one.union(many).groupBy(*KEY).agg(F.first("hub").alias("hub"), F.collect_list(F.struct("node", "block", "bn", "bd")).alias("at"))
 
 
@@ -442,9 +443,10 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     sets = table.where(F.col("n_shingles") >= least_size(threshold)).groupBy(*KEY).agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     placed = forest(sets, threshold, recall)
     sizes = placed.groupBy("node").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s")).where("m > 1").withColumn("blocks", _blocks("m", "s"))
-    rows = common.materialise(spark, spread_join(placed, sizes, "node", KEY).select("node", *KEY, "n_shingles", "m", "blocks"))
+    sizes = sizes.withColumn("w", F.col("m"))
+    rows = common.materialise(spark, spread_join(placed, sizes, "node", KEY, "w", placed.count()).select("node", *KEY, "n_shingles", "m", "blocks"))
     cores = common.materialise(spark, _cores(rows, table, threshold))
-    dealt = _dealt(rows, cores).join(sets.select(*KEY, "signature"), KEY)
+    dealt = _dealt(rows, cores, rows.count()).join(sets.select(*KEY, "signature"), KEY)
     signed = common.materialise(spark, dealt.select(*KEY, F.coalesce("hub", F.lit(0)).cast("long").alias("hub"), "at", "signature"))
     listed = signed.select(*KEY, "hub", F.col("at.node").alias("at"), "signature", F.explode("at").alias("x")).select(*KEY, "hub", "at", "signature", "x.*")
     ordered = listed.withColumn("cell", F.xxhash64("node", "block"))
@@ -470,8 +472,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     rows, linked = links(docs, threshold, recall)
     sets = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), (F.count("*") - 1).alias("n_copies"))
     sets = sets.join(linked, "key", "left").withColumn("class_key", F.coalesce("class_key", "key"))
-    heads = sets.groupBy("class_key").agg(F.min("least").alias("class_id"))
-    sets = spread_join(sets, heads, "class_key", ["key"]).select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    sets = common.materialise(docs.sparkSession, sets)
+    heads = sets.groupBy("class_key").agg(F.min("least").alias("class_id"), F.count("*").alias("w"))
+    sets = spread_join(sets, heads, "class_key", ["key"], "w", sets.count()).select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     out = rows.join(sets, "key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), zero("n_links"), zero("n_copies"))
