@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Elements that one inner running sum covers; keeps the work near linear.
 _BLOCK = 128
+NO_SPANS = "array<struct<start:bigint,end:bigint,match:string,part:string>>"
 
 
 def _prefix(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
@@ -27,14 +28,24 @@ def _prefix(values: Column, combine: Callable[[Column, Column], Column], zero: C
     return F.aggregate(values, begin, step, lambda acc: acc["a"])
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once: higher-order functions would repeat what they hold twice."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
     """What an associative ``combine`` makes of each beginning of an array of longs, in blocks."""
-    n = F.size(values)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
-    inner = F.transform(blocks, lambda x: _prefix(x, combine, zero))
-    totals = _prefix(F.transform(inner, lambda x: F.element_at(x, -1)), combine, zero)
-    shifted = F.zip_with(inner, F.concat(F.array(zero), totals), lambda x, o: F.transform(F.coalesce(x, F.array().cast("array<bigint>")), lambda v: combine(o, v)))
-    return F.when(n > 0, F.flatten(shifted)).otherwise(F.array().cast("array<bigint>"))
+
+    def whole(inner: Column) -> Column:
+        before = F.concat(F.array(zero), _prefix(F.transform(inner, lambda x: F.element_at(x, -1)), combine, zero))
+        none = F.array().cast("array<bigint>")
+        return F.flatten(F.zip_with(inner, before, lambda x, o: F.transform(F.coalesce(x, none), lambda v: combine(o, v))))
+
+    def blocks(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.when(F.size(v) > 0, let(F.transform(cut, lambda x: _prefix(x, combine, zero)), whole)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values, blocks)
 
 
 def running_sums(values: Column) -> Column:
@@ -63,15 +74,15 @@ def find(text: Column, pattern: Column | str, group: int = 0, measure: Callable[
     exclusive.  The pattern must not match an empty string.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    wanted = found if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
-    gaps = F.slice(F.split(text, p, -1), 1, F.size(found))
-    ends = running_sums(F.zip_with(gaps, found, lambda g, m: measure(g) + measure(m)))
-    spans = F.zip_with(found, ends, lambda m, e: F.struct((e - measure(m)).alias("start"), e.alias("end"), m.alias("match")))
-    return F.zip_with(spans, wanted, lambda s, g: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), g.alias("part")))
 
+    def spans(found: Column) -> Column:
+        gaps = F.slice(F.split(text, p, -1), 1, F.size(found))
+        ends = running_sums(F.zip_with(gaps, found, lambda g, m: measure(g) + measure(m)))
+        parts = found if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
+        placed = F.zip_with(found, ends, lambda m, e: F.struct((e - measure(m)).alias("start"), e.alias("end"), m.alias("match")))
+        return F.zip_with(placed, parts, lambda s, g: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), g.alias("part")))
 
-NO_SPANS = "array<struct<start:bigint,end:bigint,match:string,part:string>>"
+    return let(F.regexp_extract_all(text, p, F.lit(0)), lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(F.array().cast(NO_SPANS)))
 
 
 def find_gated(text: Column, gate: Column, pattern: Column | str, group: int = 0, measure: Callable[[Column], Column] = char_count) -> Column:

@@ -2,9 +2,10 @@ r"""License scans: ordered signature rules behind keyword filters.
 
 A text becomes words (A-Z lower-cased, class ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``), each
 between two spaces, so that every rule is a plain expression over whole words.
-Rules are made from the license names below and a few sentence forms, some
-hundreds in all.  A rule runs on a text only if its keyword is in it, and only
-texts with one of the ``ANCHORS`` reach the rules at all.
+Rules are the sentences of license texts and notices below, one by one, and the
+license names below in a few sentence forms, some hundreds in all.  A rule runs
+on a text only if its keyword is in it, and only texts with one of the
+``ANCHORS`` reach the rules at all.
 
 Detections that overlap are settled by priority and containment: one inside a
 longer one goes, of equal intervals the one with the better rank stays, and
@@ -12,23 +13,28 @@ one that overlaps another of a better priority goes.
 
 DataFrame functions only.  A null text is empty; repeated rows are judged each
 for itself; work on a very long text grows near linearly with its length and
-with the square of its number of detections.  Only doc_id and text are read.
+with its number of detections, which are settled in one sweep each way.  Only
+doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .native_spans import find
+from .native_spans import find, running_max, running_min
 
 #: Base phrases and labels, fixed values.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Every rule needs one of these (words between two spaces).
-ANCHORS = ("licen", "spdx", "public  domain", "creative  commons", "copyleft", "rights  reserved", "redistribution  and  use", "permission  to  use  copy")
+ANCHORS = ("licen", "spdx", "public  domain", "creative  commons", "copyleft", "rights  reserved", "redistribution  and  use", "permission  to  use  copy", "free  software", "unencumbered", "this  software", "advertising  materials",
+           "copyright", "this  product  includes", "is  provided  as  is", "is  supplied  as  is", "possible  under  law", "with  this  file", "altered  source", "may  be  copied",
+           "hosted  or  managed", "charityware", "copying  of  this  file", "prior  written  permission", "confidential  and  proprietary", "disclaims", "may  be  reproduced")
 
 #: Known licenses: label, words of the identifier, names (words; "|" parts alternatives).
 LICENSES = (
@@ -107,6 +113,84 @@ OTHER = (
 )
 
 
+#: Sentences of license texts and notices: label, words, priority, score.  ``*`` stands
+#: for up to 12 words, ``a|b`` for either word.  The keyword is the longest word.
+SIGNATURES = (
+    ("apache-2.0", "licensed under the apache license * you may not use this file except in compliance with the license", 0, 1.0),
+    ("apache-2.0", "apache license version 2 0 january 2004", 0, 1.0),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0, 0.9),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide", 0, 0.9),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", 0, 0.9),
+    ("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3", 0, 1.0),
+    ("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2", 0, 1.0),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", 0, 1.0),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", 0, 1.0),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", 1, 0.9),
+    ("gpl", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", 1, 0.9),
+    ("lgpl-3.0", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3", 0, 1.0),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1", 0, 1.0),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", 0, 1.0),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", 1, 0.9),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3", 0, 1.0),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007", 0, 1.0),
+    ("agpl-3.0", "you should have received a copy of the gnu affero general public license along with this program", 0, 0.95),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 0, 1.0),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", 0, 0.95),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", 0, 1.0),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", 0, 1.0),
+    ("epl-1.0", "made available under the terms of the eclipse public license v1 0", 0, 1.0),
+    ("epl-1.0", "the accompanying program is provided under the terms of this eclipse public license", 1, 0.9),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", 0, 1.0),
+    ("cpl-1.0", "the accompanying program is provided under the terms of this common public license", 0, 0.95),
+    ("bsd-3-clause", "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software", 0, 0.95),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement", 0, 0.95),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0, 0.9),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 1, 0.7),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0, 0.9),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 0, 0.95),
+    ("libpng", "the png reference library is supplied as is", 0, 0.95),
+    ("bsl-1.0", "obtaining a copy of the software and accompanying documentation covered by this license", 0, 0.95),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", 0, 1.0),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 0, 0.95),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 0, 1.0),
+    ("wtfpl", "do what the fuck you want to public license", 0, 1.0),
+    ("cc0-1.0", "to the extent possible under law * waived all copyright and related or neighboring rights", 0, 1.0),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", 0, 1.0),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", 0, 1.0),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", 0, 1.0),
+    ("cc-by-nd-4.0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", 0, 1.0),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", 0, 1.0),
+    ("ofl-1.1", "the fonts and derivatives however cannot be released under any other type of license", 0, 0.95),
+    ("python-2.0", "psf hereby grants licensee a nonexclusive royalty free world wide license", 0, 1.0),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 0, 0.95),
+    ("php-3.01", "this product includes php software freely available from", 0, 0.95),
+    ("ruby", "ruby is copyrighted free software by yukihiro matsumoto", 0, 1.0),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 0, 1.0),
+    ("ncsa", "redistributions in binary form must reproduce * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", 1, 0.7),
+    ("artistic-2.0", "the copyright holder intends that the package may be distributed * modified under the terms of the artistic license", 1, 0.8),
+    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied", 0, 0.95),
+    ("eupl-1.2", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions", 0, 1.0),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", 0, 0.9),
+    ("osl-3.0", "licensed under the open software license version 3 0", 0, 1.0),
+    ("afl-3.0", "licensed under the academic free license version 3 0", 0, 1.0),
+    ("odbl-1.0", "made available under the open database license", 0, 1.0),
+    ("gfdl-1.3", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 0, 1.0),
+    ("mulan-2.0", "is licensed under mulan psl v2 you can use this software according to the terms and conditions of the mulan psl v2", 0, 1.0),
+    ("sspl-1.0", "under the terms of the server side public license version 1", 0, 1.0),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service", 0, 0.95),
+    ("upl-1.0", "the universal permissive license upl version 1 0", 0, 1.0),
+    ("vim", "vim is charityware you can use and copy it as much as you like", 0, 1.0),
+    ("w3c", "this work is being provided by the copyright holders under the following license", 0, 0.8),
+    ("x11", "except as contained in this notice the name of * shall not be used in advertising or otherwise to promote the sale use or other dealings in this software", 0, 0.95),
+    ("public-domain", "the author disclaims copyright to this source code", 0, 0.9),
+    ("public-domain", "has been placed in the public domain", 1, 0.8),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", 0, 0.95),
+    ("proprietary", "this software is confidential and proprietary", 0, 0.9),
+    ("proprietary", "no part of this publication|work|document may be reproduced", 1, 0.7),
+    ("proprietary", "may not be copied distributed or modified without the prior written permission", 1, 0.7),
+)
+
+
 def _phrase(words: str) -> str:
     """Words as an expression over whole words; license is spelt either way."""
     return "".join(f" {w} " for w in words.split()).replace(" license ", " licen[sc]e ").replace(" licence ", " licen[sc]e ")
@@ -114,10 +198,20 @@ def _phrase(words: str) -> str:
 
 def _keyword(words: str) -> str:
     """The word of a name that the fewest texts hold: its longest, but for license."""
-    own = [w for w in words.split() if not w.startswith("licen")] or words.split()
+    fixed = [w for w, before, after in zip(words.split(), ["", *words.split()], [*words.split()[1:], ""], strict=False) if "|" not in (w, before, after)]
+    own = [w for w in fixed if not w.startswith("licen")] or fixed
     return f" {max(own, key=len)} "
 
 
+def _sentence(words: str) -> str:
+    """A sentence of ``SIGNATURES`` as an expression over whole words."""
+    parts = [f"(?: (?:{w}) )" if "|" in w else _phrase(w) for w in words.split() if w != "*"]
+    out, at = "", iter(parts)
+    for w in words.split():
+        out += "(?: [^ ]+ ){1,12}?" if w == "*" else next(at)
+    return out
+
+
 def rules() -> list[dict]:
     """All rules, in order of rank: label, keyword, expression, priority, score."""
     out = []
@@ -131,6 +225,7 @@ def rules() -> list[dict]:
             out.append((2, 0.8, label, _keyword(name), f"(?: (?:license|licence) )(?: is )?(?: (?:the|a|an) )?{own}"))
             out.append((3, 0.6, label, _keyword(name), f"{own}{tail}"))
     out += [(p, s, label, k, x) for label, k, x, p, s in OTHER]
+    out += [(p, s, label, _keyword(words.replace("*", "").replace("|", " | ")), _sentence(words)) for label, words, p, s in SIGNATURES]
     out.sort(key=lambda r: r[0])
     return [{"rank": i, "priority": p, "score": s, "label": label, "keyword": k, "pattern": x} for i, (p, s, label, k, x) in enumerate(out)]
 
@@ -170,16 +265,44 @@ def _detections(norm: Column) -> Column:
     return F.flatten(F.transform(fit, run))
 
 
-def settle(found: Column) -> Column:
-    """Detections that no other one suppresses."""
+_PRIORITIES = sorted({p for *_, p, _ in SIGNATURES} | {0, 1, 2, 3} | {r[3] for r in OTHER})
+
 
-    def beaten(d: Column, e: Column) -> Column:
-        inside = (e["start"] <= d["start"]) & (d["end"] <= e["end"])
-        longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
-        overlap = (e["start"] < d["end"]) & (d["start"] < e["end"])
-        return (inside & (longer | (e["rank"] < d["rank"]))) | (overlap & (e["priority"] < d["priority"]))
+def ordered(found: Column) -> Column:
+    """Detections by start, longer ones first, then by rank."""
+    return F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["rank"].alias("rank"), d["end"].alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["score"].alias("score"))))
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: beaten(d, e)))
+
+def _sweeps(found: Column) -> dict[str, Column]:
+    """For sorted detections: how far those before each reach, and, by priority, how far the better ones around it do.
+
+    One that contains another stands before it; so does a better rank of the
+    same interval.  Of those that overlap, some start before and some behind.
+    """
+    shifted = lambda x: F.concat(F.array(F.lit(-1).cast("long")), x)
+    out = {"reach": shifted(running_max(F.transform(found, lambda d: d["end"])))}
+    up_to = lambda p, field, other: lambda d: F.when(d["priority"] <= p, d[field]).otherwise(F.lit(other).cast("long"))
+    for p in _PRIORITIES[:-1]:
+        out[f"to{p}"] = running_max(F.transform(found, up_to(p, "end", -1)))
+        out[f"from{p}"] = F.reverse(running_min(F.transform(F.reverse(found), up_to(p, "start", 1 << 62))))
+    return out
+
+
+def settle(found: str) -> Column:
+    """Of the sorted detections in ``found`` those that no other one suppresses: one sweep each way."""
+    beaten = F.transform(
+        F.arrays_zip(F.col(found).alias("d"), *[x.alias(k) for k, x in _sweeps(F.col(found)).items()]),
+        lambda x: F.when(x["d"].isNull(), True)
+        .when(x["reach"] >= x["d"]["end"], True)
+        .otherwise(
+            reduce(
+                or_,
+                [(x["d"]["priority"] > p) & ((x[f"to{p}"] > x["d"]["start"]) | (x[f"from{p}"] < x["d"]["end"])) for p in _PRIORITIES[:-1]],
+            )
+        ),
+    )
+    kept = F.filter(F.zip_with(found, F.slice(beaten, F.lit(1), F.size(found)), lambda d, b: F.struct(d.alias("d"), b.alias("b"))), lambda x: ~x["b"])
+    return F.transform(kept, lambda x: F.struct(*[x["d"][c].alias(c) for c in ("start", "end", "rank", "priority", "label", "score")]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -194,7 +317,8 @@ def scan(docs: DataFrame) -> DataFrame:
     place, detection = "array<struct<start:bigint,label:string>>", "array<struct<start:bigint,end:bigint,rank:int,priority:int,label:string,score:double>>"
     some = F.col("__n").isNotNull()
     rows = rows.withColumns({"base": F.when(some, _base(F.col("__n"))).otherwise(none(place)), "__d": F.when(some, _detections(F.col("__n"))).otherwise(none(detection))})
-    return rows.select("doc_id", "n_words", "base", F.when(F.size("__d") > 1, settle(F.col("__d"))).otherwise(F.col("__d")).alias("detections"))
+    rows = rows.select("doc_id", "n_words", "base", ordered(F.col("__d")).alias("__d"))
+    return rows.select("doc_id", "n_words", "base", settle("__d").alias("detections"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

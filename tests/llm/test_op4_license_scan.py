@@ -1,3 +1,4 @@
+import random
 import re
 
 from gaugeframe.llm import op4_license_scan as op
@@ -70,6 +71,51 @@ def test_containment_and_priority(documents):
             assert not (b.start <= a.start and a.end <= b.end and (b.end - b.start > a.end - a.start or b.rank < a.rank))
 
 
+def settled(found):
+    """Detections that no other one suppresses, each compared with each."""
+    out = []
+    for d in found:
+        beaten = False
+        for e in found:
+            inside = e.start <= d.start and d.end <= e.end
+            overlap = e.start < d.end and d.start < e.end
+            beaten |= (inside and (e.end - e.start > d.end - d.start or e.rank < d.rank)) or (overlap and e.priority < d.priority)
+        if not beaten:
+            out.append((d.start, d.end, d.rank))
+    return sorted(out)
+
+
+DETECTION = "d array<struct<start:bigint,end:bigint,rank:int,priority:int,label:string,score:double>>"
+
+
+def test_sweeps_settle_as_all_comparisons_do(spark):
+    r = random.Random(3)
+    cases = [[]]
+    for n in (1, 2, 5, 40, 300):
+        for _ in range(4):
+            seen = {(a, a + r.randint(1, 9), k) for a, k in ((r.randrange(2 * n), r.randrange(600)) for _ in range(n))}
+            cases.append([(a, b, k, k // 120, "x", 0.5) for a, b, k in seen])
+    df = spark.createDataFrame([(c,) for c in cases], DETECTION)
+    got = df.select("d", op.ordered(op.F.col("d")).alias("o")).select("d", op.settle("o").alias("s")).collect()
+    assert len(got) == len(cases)
+    for row in got:
+        assert sorted((x.start, x.end, x.rank) for x in row.s) == settled(row.d)
+
+
+def test_fifty_thousand_detections(documents):
+    t = "released under the mit license. " * 25_000
+    r = op.scan(documents([t])).select(op.F.size("base"), op.F.size("detections"), op.F.array_max(op.F.transform("detections", lambda d: d["end"]))).first()
+    assert tuple(r) == (25_000, 25_000, 125_000)
+
+
+def test_every_signature_finds_its_own_words(spark, documents):
+    texts = [w.replace("*", "one two three").replace("publication|work|document", "work") for _, w, _, _ in op.SIGNATURES]
+    got = op.scan(documents(texts)).select("doc_id", op.F.transform("detections", lambda d: d["label"]).alias("l")).collect()
+    for r in got:
+        family = op.SIGNATURES[r.doc_id][0].split("-")[0]
+        assert any(x.split("-")[0] == family for x in r.l), (texts[r.doc_id], r.l)
+
+
 def test_hundreds_of_rules_each_with_anchor():
     rules = op.rules()
     assert len(rules) >= 300 and [r["rank"] for r in rules] == list(range(len(rules)))
