@@ -446,7 +446,11 @@ def edge_model(t: np.ndarray, low: float, high: float, most: int = 500) -> tuple
 
 
 def edge_scores(a: np.ndarray, model: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], either_polarity: bool = False) -> np.ndarray:
-    """Mean dot product of unit gradients at every place where the template fits."""
+    """Mean dot product of unit gradients at every place where the template fits.
+
+    With ``either_polarity`` a template whose contrast is reversed as a whole counts
+    as much: the size of the mean, not the mean of the sizes.
+    """
     h, w = a.shape[0] - shape[0] + 1, a.shape[1] - shape[1] + 1
     points, grad = model
     if h <= 0 or w <= 0 or not len(points):
@@ -456,9 +460,8 @@ def edge_scores(a: np.ndarray, model: tuple[np.ndarray, np.ndarray], shape: tupl
     uy, ux = np.divide(gy, m, out=np.zeros_like(gy), where=m > 0), np.divide(gx, m, out=np.zeros_like(gx), where=m > 0)
     out = np.zeros((h, w))
     for (y, x), (ty, tx) in zip(points, grad, strict=True):
-        s = uy[y : y + h, x : x + w] * ty + ux[y : y + h, x : x + w] * tx
-        out += np.abs(s) if either_polarity else s
-    return out / len(points)
+        out += uy[y : y + h, x : x + w] * ty + ux[y : y + h, x : x + w] * tx
+    return (np.abs(out) if either_polarity else out) / len(points)
 
 
 def edge_match(a: np.ndarray, t: np.ndarray, low: float, high: float, min_score: float, most: int = 1, either_polarity: bool = False) -> list[tuple]:

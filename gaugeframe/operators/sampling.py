@@ -42,9 +42,9 @@ def stride_sample(rows: DataFrame, key: str, order: str, most: int) -> DataFrame
     return j.where((F.pmod(F.col(order), F.col("__s")) == 0) & (F.col(order) < F.col("__s") * most)).drop("__n", "__s")
 
 
-def reindex(rows: DataFrame, key: str, order: str) -> DataFrame:
+def reindex(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """1-based index in order."""
-    return rows.withColumn("index", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    return rows.withColumn("index", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
 def ranked(rows: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
@@ -58,7 +58,8 @@ def threshold_candidates(obs: DataFrame, key: str, value: str, accepted: str) ->
     Every distinct value is a candidate, and so is rejecting all (``reject_all``).
     Ties: the larger minimum, the smaller maximum, the narrowest range and then
     the larger minimum.  Counts come from running sums, never from pairing
-    thresholds with observations; ranges pair distinct values of one key.
+    thresholds; a range's errors are a sum of what its two ends add, so the best
+    lower end for each upper end is a running minimum.
     """
     good, bad = F.col(accepted).cast("long"), (~F.col(accepted)).cast("long")
     v = obs.groupBy(key, F.col(value).alias("t")).agg(F.sum(good).alias("g"), F.sum(bad).alias("b"))
@@ -73,11 +74,11 @@ def threshold_candidates(obs: DataFrame, key: str, value: str, accepted: str) ->
     none = v.groupBy(key).agg(F.max("ga").alias("ga"))
     # rejecting all is the largest minimum and the smallest maximum, so it wins a tie
     sentinel = lambda kind: none.select(key, F.lit(kind).alias("kind"), F.struct(F.col("ga").alias("errors"), F.lit(0).cast("long").alias("false_accepts"), F.col("ga").alias("false_rejects"), F.lit(float("-inf")).alias("t0"), F.lit(0.0).alias("t1"), nothing.alias("lo"), nothing.alias("hi"), F.lit(True).alias("reject_all")).alias("c"))
-    a, b = v.alias("a"), v.alias("b")
-    pair = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.t") <= F.col("b.t")))
-    inside_g = F.col("b.gu") - F.col("a.gu") + F.col("a.g")
-    inside_b = F.col("b.bu") - F.col("a.bu") + F.col("a.b")
-    both = pair.select(F.col(f"a.{key}").alias(key), F.lit("Range").alias("kind"), row(F.col("a.t"), F.col("b.t"), inside_b, F.col("a.ga") - inside_g, [F.col("b.t") - F.col("a.t"), -F.col("a.t")]).alias("c"))
+    # with the lower end at a value: good ones before it are rejected, bad ones before it are not accepted
+    lost, spared = F.col("gu") - F.col("g"), F.col("bu") - F.col("b")
+    ends = v.withColumn("low", F.min(F.struct((lost - spared).alias("errors"), (-spared).alias("fa"), (-t).alias("lo"))).over(up))
+    inside_b, outside_g = F.col("bu") + F.col("low.fa"), F.col("ga") - F.col("gu") + F.col("low.errors") - F.col("low.fa")
+    both = ends.select(key, F.lit("Range").alias("kind"), row(-F.col("low.lo"), t, inside_b, outside_g, [t + F.col("low.lo"), F.col("low.lo")]).alias("c"))
     rows = v.select(key, F.lit("Minimum").alias("kind"), low.alias("c")).unionByName(v.select(key, F.lit("Maximum").alias("kind"), high.alias("c"))).unionByName(both)
     rows = rows.unionByName(sentinel("Minimum")).unionByName(sentinel("Maximum"))
     best = rows.groupBy(key, "kind").agg(F.min("c").alias("c"))

@@ -7,13 +7,15 @@ that tests call them without Spark.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .near import seeded_pairs
+
 
 # -- coverage ------------------------------------------------------------------------------
 def claim_nearest(model: np.ndarray, scene: np.ndarray, reach: float, free: np.ndarray | None = None) -> list[tuple[int, int, float]]:
@@ -97,19 +99,11 @@ def key_points(points: DataFrame, most: int, separation: float, key: str = "set_
 MAX_HYPOTHESES, MAX_ROUNDS = 256, 10
 
 
-def hypothesis_pairs(n: int, seed: str) -> list[tuple[int, int]]:
-    """All pairs, or 256 different ones drawn by the SHA-256 of seed and attempt."""
+def hypothesis_pairs(n: int, seed: str, same: Callable[[int, int], bool] = lambda i, j: False) -> list[tuple[int, int]]:
+    """All pairs, or 256 different ones drawn by the SHA-256 of seed and attempt; pairs of the ``same`` place take up none."""
     if n * (n - 1) // 2 <= MAX_HYPOTHESES:
-        return [(i, j) for i in range(n) for j in range(i + 1, n)]
-    out: dict[tuple[int, int], None] = {}
-    attempt = 0
-    while len(out) < MAX_HYPOTHESES:
-        h = hashlib.sha256(f"{seed.upper()}|{attempt}".encode()).digest()
-        i, j = int.from_bytes(h[:4], "big") % n, int.from_bytes(h[4:8], "big") % n
-        if i != j:
-            out[min(i, j), max(i, j)] = None
-        attempt += 1
-    return list(out)
+        return [(i, j) for i in range(n) for j in range(i + 1, n) if not same(i, j)]
+    return seeded_pairs(n, seed, MAX_HYPOTHESES, same)
 
 
 def total_least_squares(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +131,7 @@ def robust_line(p: np.ndarray, residual: float, min_inliers: int, min_ratio: flo
         return span if span >= min_span else None
 
     best = None
-    for i, j in hypothesis_pairs(len(p), seed):
+    for i, j in hypothesis_pairs(len(p), seed, lambda i, j: np.linalg.norm(p[j] - p[i]) <= 1e-12):
         d = p[j] - p[i]
         size = np.linalg.norm(d)
         if size <= 1e-12:
@@ -331,7 +325,7 @@ def instances(groups: DataFrame, rotations: list[np.ndarray], reach: float, min_
 NEAR = 2.0**-23
 
 
-def robust_sign(p: np.ndarray, triangles: np.ndarray, ids: np.ndarray) -> tuple[float, int, float | None]:
+def robust_sign(p: np.ndarray, triangles: np.ndarray, ids: np.ndarray) -> tuple[float, int, float]:
     """(distance, triangle, sign): among the triangles as near as the nearest, a face interior or else the most upright decides."""
     normal = np.cross(triangles[:, 1] - triangles[:, 0], triangles[:, 2] - triangles[:, 0])
     size = np.linalg.norm(normal, axis=1)
@@ -347,7 +341,7 @@ def robust_sign(p: np.ndarray, triangles: np.ndarray, ids: np.ndarray) -> tuple[
     inside = [k for k, i in enumerate(at) if face[i]]
     order = inside or range(len(at))
     k = min(order, key=lambda k: (-abs(sides[k]), ids[at[k]]))
-    return best, tri, float(np.sign(sides[k])) if sides[k] else None
+    return best, tri, -1.0 if sides[k] < 0 else 1.0  # a point in the plane of the triangle counts as outside
 
 
 def _closest(p, a, b, c):

@@ -9,7 +9,7 @@ from .operators import meshes, registration, sampling
 from .oracle import rounded, tidy
 from .oracle import sql_round as R
 from .sources import grids
-from .sources.grids import GRID_SQL, OBS_SQL, POINTS_SQL
+from .sources.grids import GRID_SQL, OBS_SQL, PIXELS_SQL, POINTS_SQL
 
 QUERIES, SQL = {}, {}
 
@@ -211,10 +211,12 @@ def h21_seeded_index(spark, d):
     return o.select("o_orderkey", g.seeded_index(F.concat(F.lit("a"), F.col("o_custkey").cast("string")), F.pmod("o_orderkey", F.lit(7)), F.lit(256).cast("long")).alias("i"))
 
 
-@query("h22_content_hash", "WITH p AS (SELECT embedding::VARCHAR AS e FROM embeddings) SELECT count(DISTINCT e) AS n_different FROM p")
+@query("h22_content_hash", f"WITH {PIXELS_SQL}, h AS (SELECT image_id, sha256(string_agg(x || ',' || y || ',' || v, ';' ORDER BY y, x)) AS content FROM pixels GROUP BY image_id) SELECT image_id, content, min(image_id) OVER (PARTITION BY content) AS first_equal FROM h")
 def h22_content_hash(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.select(F.xxhash64("embedding").alias("k")).agg(F.countDistinct("k").alias("n_different"))
+    """The digest of every image, and the first image of the same content."""
+    cell = F.struct("y", "x", F.concat_ws(",", "x", "y", "v").alias("t"))
+    h = grids.pixels(spark, d).groupBy("image_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["t"]), ";"), 256).alias("content"))
+    return h.join(h.groupBy("content").agg(F.min("image_id").alias("first_equal")), "content").select("image_id", "content", "first_equal")
 
 
 @query("a10_region_text", "SELECT p_partkey, p_partkey || ',' || p_size || ',3,4' AS text, CAST(p_partkey AS INTEGER) AS x, CAST(p_size AS INTEGER) AS y, 3 AS w, 4 AS h FROM part")
@@ -352,20 +354,12 @@ def c1_nearest_without_claim(spark, d):
     return tidy(nearest(p.where("ord < 20"), p.where("ord >= 20"), 0.2))
 
 
-@query("c13_feature_match", f"""WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 40), q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id BETWEEN 40 AND 199),
- j AS (SELECT e.vec_id AS a, q.vec_id AS b, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2)))) AS d FROM e, q),
+@query("c13_feature_match", f"""WITH e AS (SELECT vec_id, embedding FROM embeddings),
+ j AS (SELECT e.vec_id AS a, q.vec_id AS b, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2)))) AS d FROM e, e AS q WHERE e.vec_id % 20 = 0 AND q.vec_id % 20 <> 0),
  k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM j)
  SELECT x.a AS query, x.b AS train, {R('x.d')} AS distance, x.d < 0.95 * y.d AS good FROM k x JOIN k y ON x.a = y.a AND x.k = 1 AND y.k = 2""")
 def c13_feature_match(spark, d):
-    from .operators.near import ratio_matches
-
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return tidy(ratio_matches(e.where("id < 40"), e.where("id BETWEEN 40 AND 199"), 0.95))
-
-
-@query("c13_feature_match_all")
-def c13_feature_match_all(spark, d):
-    """Every twentieth descriptor against all others (the SQL of c13_feature_match holds fixed ids)."""
+    """Every twentieth descriptor against all others."""
     from .operators.near import ratio_matches
 
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
@@ -381,16 +375,16 @@ def c10_cell_assignment(spark, d):
     return out.select("grid_id", "part_row", "part_col", "valid")
 
 
-@query("c15_pair_enumeration", f"WITH {POINTS_SQL} SELECT a.set_id, a.ord AS i, b.ord AS j FROM points a JOIN points b ON a.set_id = b.set_id AND a.ord < b.ord AND b.ord < 20")
+@query("c15_pair_enumeration", f"""WITH {POINTS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY ord) - 1 AS k FROM points), n AS (SELECT set_id, count(*) AS n FROM points GROUP BY set_id),
+ t AS (SELECT set_id, n, attempt, sha256(upper(set_id) || '|' || attempt) AS h FROM n, range(0, 4096) r(attempt) WHERE n * (n - 1) / 2 > 256),
+ w AS (SELECT set_id, attempt, CAST('0x' || substr(h, 1, 8) AS BIGINT) % n AS u, CAST('0x' || substr(h, 9, 8) AS BIGINT) % n AS v FROM t),
+ f AS (SELECT set_id, least(u, v) AS a, greatest(u, v) AS b, min(attempt) AS attempt FROM w WHERE u <> v GROUP BY ALL),
+ o AS (SELECT f.set_id, x.ord AS i, y.ord AS j, row_number() OVER (PARTITION BY f.set_id ORDER BY attempt) AS k FROM f JOIN p x ON f.set_id = x.set_id AND f.a = x.k JOIN p y ON f.set_id = y.set_id AND f.b = y.k
+   WHERE sqrt((x.x - y.x) * (x.x - y.x) + (x.y - y.y) * (x.y - y.y) + (x.z - y.z) * (x.z - y.z)) > 1e-12)
+ SELECT set_id, i, j FROM o WHERE k <= 256
+ UNION ALL SELECT a.set_id, a.ord, b.ord FROM points a JOIN points b ON a.set_id = b.set_id AND a.ord < b.ord JOIN n ON a.set_id = n.set_id WHERE n * (n - 1) / 2 <= 256""")
 def c15_pair_enumeration(spark, d):
-    from .operators.near import pairs
-
-    return pairs(grids.points(spark, d).where("ord < 20"))
-
-
-@query("c15_pair_enumeration_all")
-def c15_pair_enumeration_all(spark, d):
-    """256 seeded pairs over all points of each set (the SQL of c15_pair_enumeration holds the first 20)."""
+    """Over all points of each set: all pairs, or 256 seeded ones."""
     from .operators.near import pairs
 
     return pairs(grids.points(spark, d))
@@ -470,9 +464,9 @@ def f11_ranking(spark, d):
     return sampling.ranked(grids.points(spark, d), "set_id", [F.desc("x"), F.desc("y"), F.col("ord")], 10).select("set_id", "ord", "rank")
 
 
-@query("f12_reindex", f"WITH {POINTS_SQL} SELECT set_id, ord, CAST(row_number() OVER (PARTITION BY set_id ORDER BY ord) AS INTEGER) AS index FROM points WHERE ord % 3 = 0")
+@query("f12_reindex", f"WITH {POINTS_SQL} SELECT set_id, ord, CAST(row_number() OVER (PARTITION BY set_id ORDER BY x, ord) AS INTEGER) AS index FROM points")
 def f12_reindex(spark, d):
-    return sampling.reindex(grids.points(spark, d).where("ord % 3 = 0"), "set_id", "ord").select("set_id", "ord", "index")
+    return sampling.reindex(grids.points(spark, d), "set_id", "x", "ord").select("set_id", "ord", "index")
 
 
 @query("g_region_union", f"""WITH {GRID_SQL} SELECT DISTINCT grid_id, r AS "row", c AS "col" FROM grid WHERE (r < 12 AND c < 12) OR (r BETWEEN 6 AND 17 AND c BETWEEN 6 AND 17)""")

@@ -17,7 +17,7 @@ from .plans import pipeline as pl
 from .queries_geometry import fan, raised
 from .schemas import IMAGE_STATUSES, STATUSES, image_status_of, status_of
 from .sources import grids
-from .sources.grids import PIXELS_SQL
+from .sources.grids import PIXELS_SQL, POINTS_SQL
 from .streaming import running
 
 QUERIES, SQL = {}, {}
@@ -66,7 +66,8 @@ def i2_line_fit(spark, d):
 
 
 def _pairs(spark, d):
-    p = grids.points(spark, d).where("ord < 4")
+    """All points in sets of four, and where a known turn and shift take them."""
+    p = grids.points(spark, d).withColumns({"set_id": F.concat_ws("/", "set_id", F.floor(F.col("ord") / 4)), "ord": F.col("ord") % 4})
     return p.withColumns({"tx": 0.8 * F.col("x") - 0.6 * F.col("y") + 1.5, "ty": 0.6 * F.col("x") + 0.8 * F.col("y") - 2.0, "tz": F.col("z") + 0.25})
 
 
@@ -76,7 +77,7 @@ def i3_affine_solve(spark, d):
     return tidy(out.select("set_id", "success", F.round(F.get("matrix", F.lit(0)), 6).alias("m00"), F.round(F.get("matrix", F.lit(3)), 6).alias("m03"), "determinant", "residual"))
 
 
-SQL["i3_affine_solve"] = "SELECT 's' || (vec_id // 100) AS set_id, true AS success, 0.8::DOUBLE AS m00, 1.5::DOUBLE AS m03, 1.0::DOUBLE AS determinant, 0.0::DOUBLE AS residual FROM embeddings GROUP BY 1"
+SQL["i3_affine_solve"] = "SELECT 's' || (vec_id // 100) || '/' || (vec_id % 100 // 4) AS set_id, true AS success, 0.8::DOUBLE AS m00, 1.5::DOUBLE AS m03, 1.0::DOUBLE AS determinant, 0.0::DOUBLE AS residual FROM embeddings GROUP BY 1"
 
 
 @query("c9_landmarks")
@@ -87,15 +88,12 @@ def c9_landmarks(spark, d):
 QUERIES["i13_landmark_validation"] = c9_landmarks
 
 
-def _model() -> np.ndarray:
-    return np.array([[0, 0, 0], [2, 0, 0], [0, 3, 0], [4, 1, 0], [1, 5, 0]], float)
-
-
-@query("i8_pose_search", "SELECT 5::BIGINT AS matched, 0.0::DOUBLE AS rmse, 5::BIGINT AS index, 0.0::DOUBLE AS rx, 0.0::DOUBLE AS ry, 30.0::DOUBLE AS rz, 10.0::DOUBLE AS tx, -4.0::DOUBLE AS ty, 2.0::DOUBLE AS tz")
+@query("i8_pose_search", f"WITH {POINTS_SQL} SELECT count(*) AS matched, 0.0::DOUBLE AS rmse, 5::BIGINT AS index, 0.0::DOUBLE AS rx, 0.0::DOUBLE AS ry, 30.0::DOUBLE AS rz, 10.0::DOUBLE AS tx, -4.0::DOUBLE AS ty, 2.0::DOUBLE AS tz FROM points WHERE set_id = 's0'")
 def i8_pose_search(spark, d):
-    """The known pose of a known model among seven turns."""
-    scene = _model() @ sq.euler(0, 0, 30).T + np.array([10.0, -4.0, 2.0])
-    scored = sq.pose_search(sq.poses(spark, [(0.0, 0.0, 1.0), (0.0, 0.0, 1.0), (-45.0, 45.0, 15.0)]), _model(), scene, 0.05)
+    """The known pose of the first point set among seven turns."""
+    p = grids.points(spark, d).where("set_id = 's0'").orderBy("ord").select("x", "y", "z").toPandas().to_numpy(float)  # one set is 100 points
+    scene = p @ sq.euler(0, 0, 30).T + np.array([10.0, -4.0, 2.0])
+    scored = sq.pose_search(sq.poses(spark, [(0.0, 0.0, 1.0), (0.0, 0.0, 1.0), (-45.0, 45.0, 15.0)]), p, scene, 0.05)
     return tidy(sq.best_pose(scored, 3))
 
 
@@ -295,7 +293,7 @@ def b11_acceptance(spark, d):
     return spark.createDataFrame([(i, r.status) for i, r in enumerate(found)], "step int, status string")
 
 
-@query("l9_combined_runner", "SELECT * FROM (VALUES ('2D', 'mean', true, 'Passed'), ('2D', 'none', false, 'ConfigurationError'), ('3D', 'broken', false, 'Exception')) t(kind, tool, passed, status)")
+@query("l9_combined_runner", f"WITH {PIXELS_SQL} SELECT '2D' AS kind, 'mean' AS tool, avg(v) > 0 AS passed, CASE WHEN avg(v) > 0 THEN 'Passed' ELSE 'Failed' END AS status FROM pixels UNION ALL SELECT '2D', 'none', false, 'ConfigurationError' UNION ALL SELECT '3D', 'broken', false, 'Exception'")
 def l9_combined_runner(spark, d):
     def broken():
         raise ValueError("no height map")
