@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_SIDE = 32768
 
@@ -193,6 +194,89 @@ def perspective(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.append(np.linalg.solve(np.array(rows, float), np.array(right, float)), 1.0).reshape(3, 3)
 
 
+def projected(m: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Points under a 3 x 3 matrix; NaN where it sends them to infinity."""
+    q = np.column_stack([p, np.ones(len(p))]) @ m.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.abs(q[:, 2:]) > 1e-12, q[:, :2] / q[:, 2:], np.nan)
+
+
+def least_squares_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
+    """The 3 x 3 matrix that fits point pairs best: the smallest singular vector of the normalised equations."""
+
+    def normal(p: np.ndarray) -> np.ndarray:
+        c = p.mean(axis=0)
+        k = np.sqrt(2) / max(float(np.linalg.norm(p - c, axis=1).mean()), 1e-12)
+        return np.array([[k, 0, -k * c[0]], [0, k, -k * c[1]], [0, 0, 1]])
+
+    a, b = normal(src), normal(dst)
+    s, d = projected(a, src), projected(b, dst)
+    one, zero = np.ones(len(s)), np.zeros((len(s), 3))
+    h = np.column_stack([s, one])
+    rows = np.vstack([np.hstack([h, zero, -d[:, :1] * h]), np.hstack([zero, h, -d[:, 1:] * h])])
+    m = np.linalg.inv(b) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ a
+    return m / m[2, 2] if abs(m[2, 2]) > 1e-12 else None
+
+
+#: Draws of four pairs for a homography, and the fewest matches that one is sought for.
+DRAWS, LEAST_MATCHES = 512, 4
+
+
+def robust_homography(src: np.ndarray, dst: np.ndarray, reach: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
+    """Matrix and inliers of the best of ``DRAWS`` seeded draws of four pairs, fitted again to all its inliers."""
+    n = len(src)
+    if n < LEAST_MATCHES:
+        return None
+    rng, best = np.random.default_rng(seed), None
+    inside = lambda m: np.nan_to_num(np.linalg.norm(projected(m, src) - dst, axis=1), nan=np.inf) <= reach
+    for _ in range(DRAWS):
+        at = rng.choice(n, 4, replace=False)
+        try:
+            m = perspective(src[at], dst[at])
+        except np.linalg.LinAlgError:
+            continue  # three in a line
+        k = inside(m)
+        if np.isfinite(m).all() and (best is None or k.sum() > best[1].sum()):
+            best = (m, k)
+            if k.all():
+                break
+    if best is None or best[1].sum() < LEAST_MATCHES:
+        return None
+    m = least_squares_homography(src[best[1]], dst[best[1]])
+    if m is not None and inside(m).sum() >= best[1].sum():
+        best = (m, inside(m))
+    return best
+
+
+HOMOGRAPHY_SQL = "set_id string, status string, good long, inliers long, score double, matrix array<double>, x double, y double, angle double"
+
+
+def feature_locations(matches: DataFrame, width: float, height: float, reach: float = 3.0) -> DataFrame:
+    """Where the good matches of each set place a template of the given size.
+
+    ``matches``: set_id, (sx, sy) in the template, (tx, ty) in the image; one set is
+    one pair of images.  Fewer than ``LEAST_MATCHES`` matches, or no matrix, is a
+    status of its own; the score is the share of inliers in per cent, to one place.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values(["sx", "sy", "tx", "ty"], kind="stable")
+        name, n = pdf.set_id.iloc[0] if len(pdf) else None, len(pdf)
+        found = robust_homography(pdf[["sx", "sy"]].to_numpy(float), pdf[["tx", "ty"]].to_numpy(float), reach)
+        columns = [c.split()[0] for c in HOMOGRAPHY_SQL.split(", ")]
+        if found is None:
+            status = "FeatureNotEnoughMatches" if n < LEAST_MATCHES else "FeatureHomographyFailed"
+            return pd.DataFrame([(name, status, n, 0, 0.0, None, None, None, None)] if n else [], columns=columns)
+        m, inside = found
+        box = projected(m, np.array([[0, 0], [0, height - 1], [width - 1, height - 1], [width - 1, 0]], float))
+        middle, side = (box[0] + box[2]) / 2, box[1] - box[0]
+        k = int(inside.sum())
+        row = (name, "Success", n, k, round(100.0 * k / n, 1), m.ravel().tolist(), *middle.tolist(), float(np.degrees(np.arctan2(side[1], side[0]))))
+        return pd.DataFrame([row], columns=columns)
+
+    return matches.select("set_id", "sx", "sy", "tx", "ty").groupBy("set_id").applyInPandas(run, HOMOGRAPHY_SQL)
+
+
 # -- blobs and contours --------------------------------------------------------------------------
 def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
     """8-connected components, numbered in row-major order of their first pixel."""
@@ -434,6 +518,26 @@ def match(a: np.ndarray, t: np.ndarray, min_score: float, most: int = 1, angles:
 MATCH_COLUMNS = [("rank", "int"), ("x", "int"), ("y", "int"), ("w", "int"), ("h", "int"), ("angle", "double"), ("scale", "double"), ("score", "double")]
 
 
+#: Bytes of all templates of one search, which go to every worker.
+MAX_TEMPLATE_BYTES = 64 << 20
+
+
+def match_templates(images: DataFrame, templates: DataFrame, min_score: float, most: int = 1, angles: list[float] = (0.0,), scales: list[float] = (100.0,)) -> DataFrame:
+    """``match`` of every template in every image: image_id, template_id and the columns of a match.
+
+    ``templates`` is a table like that of images, with template_id.  It is sent to
+    all workers, so its size is checked first; beyond ``MAX_TEMPLATE_BYTES`` it
+    must be searched in parts.
+    """
+    size = templates.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    if size > MAX_TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates exceed {MAX_TEMPLATE_BYTES}")
+    known = [(r.template_id, unpack(r.width, r.height, r.channels, bytes(r.data))) for r in templates.orderBy("template_id").collect()]
+    shared = images.sparkSession.sparkContext.broadcast(known)
+    kernel = lambda a: [(name, *r) for name, t in shared.value for r in match(a, t, min_score, most, angles, scales)]
+    return on_images(images, kernel, [("template_id", "string"), *MATCH_COLUMNS])
+
+
 def edge_model(t: np.ndarray, low: float, high: float, most: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Edge points of a template (y, x) and their unit gradients (gy, gx), thinned evenly."""
     gx, gy = convolve(t, SOBEL), convolve(t, SOBEL.T)

@@ -237,7 +237,23 @@ def j14_proposals(spark, d):
     return tidy(im.on_images(_images(spark, d), lambda a: im.propose(a, 24, 10, 0.2, 4), im.PROPOSAL_COLUMNS), 4)
 
 
-QUERIES["a6_template_input"] = j12_template_match
+@query("a6_template_input")
+def a6_template_input(spark, d):
+    """Templates from a table of their own (a patch of each image) in every image."""
+    images = _images(spark, d)
+    cut = im.on_images(images, lambda a: im.as_image(lambda x: x[20:36, 10:30])(a), im.IMAGE_COLUMNS)
+    return tidy(im.match_templates(images, cut.withColumnRenamed("image_id", "template_id"), 80.0, 1), 3)
+
+
+@query("j11_homography", f"WITH {POINTS_SQL}, n AS (SELECT set_id, count(*) AS good, count(*) FILTER (ord % 5 <> 0) AS inliers FROM points GROUP BY set_id) SELECT set_id, 'Success' AS status, good, inliers, round(100.0 * inliers / good, 1)::DOUBLE AS score, 1.6::DOUBLE AS m00, -1.2::DOUBLE AS m01, 40.0::DOUBLE AS m02 FROM n")
+def j11_homography(spark, d):
+    """Good matches of each set under a known turn, every fifth one astray: matrix, inliers and score."""
+    p = grids.points(spark, d).withColumns({"sx": F.col("x") * 1000, "sy": F.col("y") * 1000})
+    astray = F.when(F.col("ord") % 5 == 0, F.lit(5000.0) + F.col("ord") * F.col("ord")).otherwise(F.lit(0.0))
+    m = p.select("set_id", "sx", "sy", (1.6 * F.col("sx") - 1.2 * F.col("sy") + 40 + astray).alias("tx"), (1.2 * F.col("sx") + 1.6 * F.col("sy") - 25 - 3 * astray).alias("ty"))
+    out = im.feature_locations(m, 64, 48)
+    at = lambda i: F.round(F.get("matrix", F.lit(i)), 6)
+    return out.select("set_id", "status", "good", "inliers", "score", at(0).alias("m00"), at(1).alias("m01"), at(2).alias("m02"))
 
 
 @query("j11_feature_match")

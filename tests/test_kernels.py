@@ -4,7 +4,7 @@ import pytest
 
 from gaugeframe.operators import images as im
 from gaugeframe.operators import meshes
-from gaugeframe.operators import near
+from gaugeframe.operators import near, sampling
 from gaugeframe.operators import sequential as sq
 
 RNG = np.random.default_rng(7)
@@ -321,3 +321,54 @@ def test_proposals():
     got = im.propose(RNG.integers(0, 255, (48, 48)).astype(np.uint8), 16, 8, 0.2, 3)
     assert [p[0] for p in got] == list(range(1, len(got) + 1)) and all(got[i][9] >= got[i + 1][9] for i in range(len(got) - 1))
     assert im.positions(0, 10, 4) == [0, 4, 8, 10] and im.propose(np.zeros((4, 4), np.uint8), 8, 4, 0.2, 3) == []
+
+
+def test_homography_of_matches_with_strays(spark):
+    rng = np.random.default_rng(2)
+    src = rng.uniform(0, 200, (40, 2))
+    m = np.array([[0.9, -0.2, 12.0], [0.25, 1.1, -7.0], [0.0004, -0.0003, 1.0]])
+    dst = im.projected(m, src)
+    dst[:12] += rng.uniform(30, 90, (12, 2))
+    found, inside = im.robust_homography(src, dst, 1.0)
+    assert inside.sum() == 28 and not inside[:12].any() and np.allclose(found, m, atol=1e-6)
+    rows = [("a", *s, *t) for s, t in zip(src.tolist(), dst.tolist(), strict=True)] + [("few", 1.0, 2.0, 3.0, 4.0)] * 3 + [("line", float(i), float(i), float(i), 0.0) for i in range(6)]
+    got = {r.set_id: r for r in im.feature_locations(spark.createDataFrame(rows, "set_id string, sx double, sy double, tx double, ty double"), 64, 48, 1.0).collect()}
+    assert (got["a"].status, got["a"].good, got["a"].inliers, got["a"].score) == ("Success", 40, 28, 70.0)
+    box = im.projected(m, np.array([[0.0, 0.0], [63.0, 47.0]]))
+    assert np.allclose([got["a"].x, got["a"].y], box.mean(axis=0), atol=1e-5)
+    assert got["few"].status == "FeatureNotEnoughMatches" and got["line"].status == "FeatureHomographyFailed"
+
+
+def test_templates_of_a_table_are_found_in_their_images(spark, small, monkeypatch):
+    rng = np.random.default_rng(4)
+    pictures = {f"i{k}": rng.integers(0, 256, (40, 50)).astype(np.uint8) for k in range(3)}
+    table = lambda rows, name: spark.createDataFrame([(k, a.shape[1], a.shape[0], 1, a.tobytes()) for k, a in rows], f"{name} string, width int, height int, channels int, data binary")
+    images = table(pictures.items(), "image_id")
+    templates = table([("t0", pictures["i0"][5:17, 8:24]), ("t2", pictures["i2"][20:30, 30:45])], "template_id")
+    got = sorted((r.image_id, r.template_id, r.x, r.y) for r in im.match_templates(images, templates, 90.0).collect())
+    assert got == [("i0", "t0", 8, 5), ("i2", "t2", 30, 20)]
+    assert im.match_templates(images, templates.limit(0), 90.0).collect() == []
+    monkeypatch.setattr(im, "MAX_TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError, match="exceed"):
+        im.match_templates(images, templates, 90.0)
+
+
+def test_reversed_contrast_counts_as_a_whole():
+    a = np.zeros((30, 30), np.uint8)
+    a[10:20, 10:20] = 200
+    t, half = a[5:25, 5:25], a.copy()
+    half[10:20, 10:15], half[10:20, 15:20] = 55, 200
+    model = im.edge_model(t, 40, 80)
+    assert im.edge_scores(255 - a, model, t.shape, True).max() == pytest.approx(im.edge_scores(a, model, t.shape).max())
+    assert im.edge_scores(255 - a, model, t.shape).max() < 0.5
+
+
+def test_range_limits_equal_all_pairs(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, float(r.integers(0, 12)), bool(r.integers(0, 2))) for k in ("a", "b", "c") for _ in range(25)] + [("one", 1.0, True), ("bad", 1.0, False)]
+    got = {x.k: x for x in sampling.threshold_candidates(spark.createDataFrame(rows, "k string, v double, good boolean"), "k", "v", "good").where("kind = 'Range'").collect()}
+    for k in {x[0] for x in rows}:
+        own = [(v, g) for n, v, g in rows if n == k]
+        values = sorted({v for v, _ in own})
+        best = min((sum(g != (lo <= v <= hi) for v, g in own), sum(not g and lo <= v <= hi for v, g in own), hi - lo, -lo) for lo in values for hi in values if lo <= hi)
+        assert (got[k].errors, got[k].false_accepts, got[k].hi - got[k].lo, -got[k].lo) == best
