@@ -382,12 +382,19 @@ def _closest_all(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def robust_signs(points: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Distance, triangle and recovered sign of every point of a mesh's set."""
+    """Distance, triangle and recovered sign of every point of a mesh's set.
+
+    A triangle without all its coordinates (an index without a vertex) is nowhere
+    near; a point without its own, or with no whole triangle, has nulls.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         t = right[[f"{n}{c}" for n in "abc" for c in "xyz"]].to_numpy(float).reshape(-1, 3, 3)
-        ids = right.tri_id.to_numpy()
-        rows = [(m, o, *robust_sign(np.array([x, y, z]), t, ids)) for m, o, x, y, z in zip(left.mesh_id, left.ord, left.x, left.y, left.z, strict=True)] if len(t) else []
+        whole = np.isfinite(t).all(axis=(1, 2))
+        t, ids = t[whole], right.tri_id.to_numpy()[whole]
+        at = left[["x", "y", "z"]].to_numpy(float)
+        signs = (robust_sign(p, t, ids) if len(t) and np.isfinite(p).all() else (None, None, None) for p in at)
+        rows = [(m, o, *s) for m, o, s in zip(left.mesh_id, left.ord, signs, strict=True)] if len(right) else []
         return pd.DataFrame(rows, columns=["mesh_id", "ord", "distance", "tri_id", "sign"])
 
     return points.select("mesh_id", "ord", "x", "y", "z").groupBy("mesh_id").cogroup(triangles.groupBy("mesh_id")).applyInPandas(run, "mesh_id string, ord long, distance double, tri_id long, sign double")

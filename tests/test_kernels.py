@@ -121,6 +121,36 @@ def test_mesh_queries_take_all_points(spark, small):
     assert len(signs) == n and all(signs[r.mesh_id, r.ord].distance == pytest.approx(r.distance, abs=2e-5) for r in got)
 
 
+@pytest.fixture(scope="module")
+def ragged(spark, small, tmp_path_factory):
+    """The small embeddings up to a last set of 54 points, so that sets, grids and fours end early."""
+    d = str(tmp_path_factory.mktemp("ragged"))
+    spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 454").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+def test_robust_signs_of_a_short_last_mesh(spark, ragged):
+    from gaugeframe import queries_geometry, queries_kernels
+
+    near_ = {(r.mesh_id, r.ord): r for r in queries_geometry.QUERIES["c3_point_to_mesh"](spark, ragged).collect()}
+    got = {(r.mesh_id, r.ord): r for r in queries_kernels.QUERIES["c4_robust_sign"](spark, ragged).collect()}
+    assert len(got) == 454 and set(got) == set(near_)
+    rows = queries_geometry.grids.points(spark, ragged).where("set_id = 's4'").orderBy("ord").select("x", "y", "z", "raw_h").toPandas().to_numpy(float)
+    tri = np.stack([rows[:-2, :3], rows[1:-1, :3], rows[2:, :3]], axis=1)
+    for o, (x, y, z, h) in enumerate(rows):
+        d, k, s = sq.robust_sign(np.array([x, y, z + h]), tri, np.arange(52))
+        r = got["s4", o]
+        assert (r.distance, r.tri_id, r.sign) == (pytest.approx(d, abs=1e-5), k, s) and near_["s4", o].distance == pytest.approx(d, abs=1e-5)
+
+
+def test_robust_signs_without_coordinates(spark):
+    cols = ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz")
+    t = spark.createDataFrame([("m", 3, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0, 0.0), ("m", 4, *[0.0] * 6, None, None, None), ("n", 1, *[None] * 9)], f"mesh_id string, tri_id int, {cols}")
+    p = spark.createDataFrame([("m", 0, 0.5, 0.5, -1.0), ("m", 1, None, 0.5, 1.0), ("n", 0, 0.5, 0.5, 1.0), ("o", 0, 0.5, 0.5, 1.0)], "mesh_id string, ord long, x double, y double, z double")
+    got = {tuple(r) for r in sq.robust_signs(p, t).collect()}
+    assert got == {("m", 0, 1.0, 3, -1.0), ("m", 1, None, None, None), ("n", 0, None, None, None)}
+
+
 def test_mesh_comparison_fixture(spark):
     cols = ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz")
     t = spark.createDataFrame([("m", 3, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 2.0, 0.0)], f"mesh_id string, tri_id int, {cols}")
