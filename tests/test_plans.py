@@ -1,4 +1,5 @@
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,28 @@ def test_oracle(spark, small, name):
     assert sorted(names) == sorted(got.columns)
     key = lambda r: tuple(float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r)
     assert sorted(map(key, map(tuple, got.select(names).collect())), key=repr) == sorted(map(key, want.fetchall()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def ragged(spark, small, tmp_path_factory):
+    """The small embeddings up to a last set of 54 points."""
+    d = str(tmp_path_factory.mktemp("ragged"))
+    spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 454").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+def differences(spark, d, name):
+    """Rows of the query alone, and of its SQL alone."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet/*.parquet'")
+    got = core.QUERIES[name](spark, d)
+    want = c.execute(core.SQL[name])
+    got = Counter(map(tuple, got.select([k[0] for k in want.description]).collect()))
+    want = Counter(want.fetchall())
+    return got - want, want - got
+
+
+def test_surface_selection_of_a_short_last_mesh(spark, ragged):
+    assert differences(spark, ragged, "b16_surface_selection") == (Counter(), Counter())
