@@ -119,15 +119,20 @@ def grid_summary(cells: DataFrame, bins: int, zero_is_missing: bool = True) -> D
     return agg.join(peak_bin(histogram(use, "grid_id", "v", bins), "grid_id", bins), "grid_id", "left")
 
 
-def completeness(cells: DataFrame, reference: Roi, origin: tuple[int, int], layout: tuple[int, int], pitch: tuple[int, int], size: tuple[int, int], min_coverage: float, low: float, high: float) -> DataFrame:
-    """Presence of each part of a layout: its mean above the reference's, its coverage, its disposition."""
+def part_cells(cells: DataFrame, origin: tuple[int, int], layout: tuple[int, int], pitch: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """Cells that lie in a part of a layout, with its part_row and part_col."""
     if pitch[0] < size[0] or pitch[1] < size[1] or layout[0] <= 0 or layout[1] <= 0:
         raise ValueError("parts must not overlap")
-    ref = samples(cells, reference).groupBy("grid_id").agg(F.avg("h").alias("ref"))
     r, c = F.col("row") - origin[0], F.col("col") - origin[1]
     i, j = F.floor(r / pitch[0]).cast("int"), F.floor(c / pitch[1]).cast("int")
     inside = (r >= 0) & (c >= 0) & (i < layout[0]) & (j < layout[1]) & (r - i * pitch[0] < size[0]) & (c - j * pitch[1] < size[1])
-    own = cells.where(inside).groupBy("grid_id", i.alias("part_row"), j.alias("part_col")).agg(F.count("h").alias("valid"), F.avg("h").alias("mean_h"))
+    return cells.where(inside).withColumns({"part_row": i, "part_col": j})
+
+
+def completeness(cells: DataFrame, reference: Roi, origin: tuple[int, int], layout: tuple[int, int], pitch: tuple[int, int], size: tuple[int, int], min_coverage: float, low: float, high: float) -> DataFrame:
+    """Presence of each part of a layout: its mean above the reference's, its coverage, its disposition."""
+    ref = samples(cells, reference).groupBy("grid_id").agg(F.avg("h").alias("ref"))
+    own = part_cells(cells, origin, layout, pitch, size).groupBy("grid_id", "part_row", "part_col").agg(F.count("h").alias("valid"), F.avg("h").alias("mean_h"))
     ids = cells.select("grid_id").distinct()
     every = ids.select("grid_id", F.explode(F.sequence(F.lit(0), F.lit(layout[0] - 1))).alias("part_row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(layout[1] - 1))).alias("part_col"))
     rows = every.join(own, ["grid_id", "part_row", "part_col"], "left").join(ref, "grid_id", "left")

@@ -198,3 +198,9 @@ def differences(spark, d, name):
 
 def test_surface_selection_of_a_short_last_mesh(spark, ragged):
     assert differences(spark, ragged, "b16_surface_selection") == (Counter(), Counter())
+
+
+def test_parts_outside_a_short_last_grid(spark, ragged):
+    assert differences(spark, ragged, "c10_cell_assignment") == (Counter(), Counter())
+    got = core.QUERIES["c10_cell_assignment"](spark, ragged).where("grid_id = 'g4'").collect()
+    assert {r.part_row for r in got} == set(range(5)) and len(got) == 5 * 6
