@@ -204,3 +204,9 @@ def test_parts_outside_a_short_last_grid(spark, ragged):
     assert differences(spark, ragged, "c10_cell_assignment") == (Counter(), Counter())
     got = core.QUERIES["c10_cell_assignment"](spark, ragged).where("grid_id = 'g4'").collect()
     assert {r.part_row for r in got} == set(range(5)) and len(got) == 5 * 6
+
+
+def test_vertices_of_a_short_last_mesh(spark, ragged, tmp_path):
+    assert differences(spark, ragged, "c6_vertex_lookup") == (Counter(), Counter())
+    spark.read.parquet(f"{ragged}/embeddings.parquet").where("vec_id % 100 <> 37").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert differences(spark, str(tmp_path), "c6_vertex_lookup") == (Counter(), Counter())
