@@ -210,3 +210,9 @@ def test_vertices_of_a_short_last_mesh(spark, ragged, tmp_path):
     assert differences(spark, ragged, "c6_vertex_lookup") == (Counter(), Counter())
     spark.read.parquet(f"{ragged}/embeddings.parquet").where("vec_id % 100 <> 37").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert differences(spark, str(tmp_path), "c6_vertex_lookup") == (Counter(), Counter())
+
+
+def test_edges_of_a_short_last_mesh(spark, ragged):
+    assert differences(spark, ragged, "c7_mesh_edges") == (Counter(), Counter())
+    last = core.QUERIES["c7_mesh_edges"](spark, ragged).where("mesh_id = 's4' AND hi >= 53").collect()
+    assert [(r.lo, r.hi, r.owners, r.kind) for r in sorted(last)] == [(51, 53, 1, "Boundary"), (52, 53, 1, "Boundary")]
